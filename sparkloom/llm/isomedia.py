@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, utf8
 
@@ -216,7 +217,8 @@ def media_columns(files: DataFrame, column: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *map(pa.array, map(list, found), kinds)], [*rest, *names])
 
     schema = files.select(*rest).schema
-    for name, kind in zip(names, ("string", "string", "long", "long", "long", "array<struct<offset:long,size:long>>", "long", "string")):
+    ranges = T.ArrayType(T.StructType().add("offset", "long").add("size", "long"))
+    for name, kind in zip(names, ("string", "string", "long", "long", "long", ranges, "long", "string")):
         schema = schema.add(name, kind)
     return files.select(*rest, column).mapInArrow(run, schema)
 

@@ -2,11 +2,13 @@
 
 A passage of PASSAGE words holds PASSAGE - GRAM + 1 grams of GRAM words; the one with the least hash (the minimiser)
 depends on the passage's own words only, so every copy of it selects the same one. Suffixes are retained there alone,
-about one in 18 words. Those whose gram is met only once are dropped by its hash; the rest are sorted by their text to
-the right, then by their text to the left, over range partitions, so that copies of one passage are split over as many
-tasks as they need. Neighbours in that order are compared and matches extended left and right, as far as a passage
-around the suffix can reach (PASSAGE words right, PASSAGE - GRAM left); overlapping matches are then merged, which
-gives passages of any length. Only neighbours of other documents count.
+about one in 18 words. They are sorted by their gram, neighbours are compared, and those that are like no neighbour in
+their first GRAM words go. What is left is extended left and right by the passages whose minimiser it is: each gets a
+128-bit hash of its words, passages are sorted by it, and one counts as repeated if a neighbour of another document is
+equal. Repeated passages of a document that overlap or touch are then joined to maximal runs.
+
+Comparing retained suffixes with their neighbours word by word would be cheaper still, but the neighbour that is most
+alike to the right need not be the one that is alike to the left, so that among many near copies passages get lost.
 """
 from __future__ import annotations
 
@@ -15,188 +17,122 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8, written
+from .common import small_batches, utf8
 
 PASSAGE, GRAM = 50, 16
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
+_BASES = {"a": 0x9E3779B97F4A7C15, "b": 0xD6E8FEB86659FD93}
+_powers: dict[tuple, np.ndarray] = {}
 
 
-def _power(name: str, n: int) -> np.ndarray:
-    """Powers of _BASE ("p") or of its inverse ("q") modulo 2^64."""
-    if len(_powers[name]) < n:
-        base = _BASE if name == "p" else pow(_BASE, -1, 1 << 64)
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers of base modulo 2^64, or more."""
+    if len(_powers.get(base, ())) < n:
         with np.errstate(over="ignore"):
-            _powers[name] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 1 << 16), base % (1 << 64), np.uint64))])
-    return _powers[name]
-
-
-def _edges(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    return np.concatenate([[0], ends[:-1] + 1]), ends
-
-
-def gram_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each run of GRAM words, from prefix sums over the bytes."""
-    line = np.frombuffer(b" ".join(words), np.uint8)
-    first, ends = _edges(words)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((line.astype(np.uint64) + np.uint64(1)) * _power("p", len(line))[: len(line)])])
-        a, b = first[: len(words) - GRAM + 1], ends[GRAM - 1 :]
-        h = (sums[b] - sums[a]) * _power("q", len(line) + 1)[a]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
-
-
-def selected(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minimisers, and their hashes."""
-    if len(words) < PASSAGE:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(words)
-    wide = PASSAGE - GRAM + 1
-    least = np.lib.stride_tricks.sliding_window_view(h, wide)
-    at = np.unique(np.concatenate([least[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(least))) for i in range(0, len(least), 65536)]))
-    return at, h[at]
-
-
-def context(words: list[bytes], at: int) -> tuple[bytes, bytes]:
-    """The words to the right, from the suffix on, and those to the left in reverse order."""
-    return b" ".join(words[at : at + PASSAGE]), b" ".join(words[max(0, at - PASSAGE + GRAM) : at][::-1])
+            _powers[base] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(2 * n, 1 << 16), base, np.uint64))])
+    return _powers[base]
 
 
-def _common(a: list[bytes], b: list[bytes]) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n) if a[:n] != b[:n] else n
+class Line:
+    """The words of a text, with hashes of runs of them from prefix sums over their bytes."""
 
+    def __init__(self, text: bytes):
+        words = text.split()
+        self.n = len(words)
+        self.bytes = np.frombuffer(b" ".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, self.n) + 1) - 1
+        self.first = np.concatenate([[0], self.ends[:-1] + 1])
 
-def matches(suffixes):
-    """suffixes: (doc, at, right, left) in order. Yields (doc, start, end, partner) of both sides of each match: for a
-    suffix, with the nearest before and the nearest after it that are of another document."""
-    last = other = None  # the latest suffix, and the latest of another document than that one
-    run: list = []  # the latest document's suffixes, which the next other one is compared with
-    for doc, at, right, left in suffixes:
-        now = (doc, at, right.split(), left.split())
-        if last is not None and last[0] != doc:
-            other, near = last, [*run]
-            run = []
-        else:
-            near = [other] if other is not None else []
-        for x in near:
-            r, back = _common(now[2], x[2]), _common(now[3], x[3])
-            if r + back >= PASSAGE:
-                yield doc, at - back, at + r, x[0]
-                yield x[0], x[1] - back, x[1] + r, doc
-        last = now
-        run.append(now)
-
+    def hashes(self, width: int, which: str = "a") -> np.ndarray:
+        """A 64-bit hash of each run of so many words."""
+        base = _BASES[which]
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.bytes * _power(base, len(self.bytes))[: len(self.bytes)])])
+            a, b = self.first[: self.n - width + 1], self.ends[width - 1 :]
+            h = (sums[b] - sums[a]) * _power(pow(base, -1, 1 << 64), len(self.bytes))[a]
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            return h ^ (h >> np.uint64(29))
 
-def _span_batch(found: list) -> list[pa.Array]:
-    columns = list(zip(*found)) if found else [[]] * 4
-    return [pa.array(c, pa.int64()) for c in columns]
+    def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each passage, the position of its minimiser; the hashes of all grams."""
+        h = self.hashes(GRAM)
+        least = np.lib.stride_tricks.sliding_window_view(h, PASSAGE - GRAM + 1)
+        step = 1 << 16
+        return np.concatenate([least[i : i + step].argmin(axis=1) + np.arange(i, min(i + step, len(least))) for i in range(0, len(least), step)]), h
 
 
-_EDGE = ["edge_right", "edge_left", "edge_at", "edge_doc"]
-_SPANS = "doc_id long, start long, end long, partner long"
+def _batch(names: list[str], *columns: list[np.ndarray], more: list | None = None) -> pa.RecordBatch:
+    arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns]
+    return pa.RecordBatch.from_arrays([*arrays, *([pa.array(more, pa.list_(pa.int64()))] if more is not None else [])], names)
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, partner): word ranges that stand in the document partner as well, not yet merged."""
-    small_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
+def retained(d: DataFrame) -> DataFrame:
+    """(doc_id, places): the minimiser positions of each document that are like another one in GRAM words."""
 
     def pick(batches):
         for b in batches:
-            ids, at, h = [], [], []
+            ids, at, grams = [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
-                p, x = selected(t.split())
-                ids += [i] * len(p)
-                at.append(p)
-                h.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *at])), pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64))], ["doc_id", "at", "gram"])
+                line = Line(t)
+                if line.n >= PASSAGE:
+                    least, h = line.minimisers()
+                    p = np.unique(least)
+                    ids.append(np.full(len(p), i))
+                    at.append(p)
+                    grams.append(h[p].view(np.int64))
+            yield _batch(["doc_id", "at", "gram"], ids, at, grams)
 
     near = Window.partitionBy("gram").orderBy("doc_id", "at")  # neighbours only: no group is held in memory
-    picked = d.mapInArrow(pick, "doc_id long, at long, gram long")
-    met = picked.select("doc_id", "at", (F.lag("at").over(near).isNotNull() | F.lead("at").over(near).isNotNull()).alias("met")).filter("met")
-    places = written(met.groupBy("doc_id").agg(F.collect_set("at").alias("places")))  # a document's own positions
+    met = F.lag("at").over(near).isNotNull() | F.lead("at").over(near).isNotNull()
+    kept = d.mapInArrow(pick, "doc_id long, at long, gram long").withColumn("met", met).filter("met")
+    return kept.groupBy("doc_id").agg(F.collect_set("at").alias("places"))  # a document's own positions
 
-    def show(batches):
+
+def repeated(d: DataFrame) -> DataFrame:
+    """(doc_id, start, partner): the passages that stand in the document partner as well."""
+
+    def extend(batches):
         for b in batches:
-            ids, at, right, left = [], [], [], []
+            ids, starts, one, two, more = [], [], [], [], []
             for i, t, places in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("places").to_pylist()):
-                words = t.split()
-                for p in places:
-                    if p < len(words):  # a repeated doc_id may have shorter texts
-                        r, x = context(words, p)
-                        ids.append(i)
-                        at.append(p)
-                        right.append(r)
-                        left.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], ["doc_id", "at", "right", "left"])
-
-    shown = d.join(places, "doc_id").mapInArrow(show, "doc_id long, at long, right binary, left binary")
-    order = ["right", "left", "doc_id", "at"]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def compare(batches):
-        """Spans, and the suffixes at both ends of the partition up to the first of another document."""
-        head: list = []
-        tail: list = []
-        opening = True
-
-        def rows():
-            nonlocal opening
-            for b in batches:
-                for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "at", "right", "left"))):
-                    if opening:
-                        head.append(x)
-                        opening = x[0] == head[0][0]
-                    if tail and tail[-1][0] != x[0]:
-                        del tail[:-1]
-                        if len({tail[0][0], x[0]}) > 1:
-                            tail[:] = tail[-1:]
-                    tail.append(x)
-                    yield x
-
-        def batch(found, ends):
-            cols = list(zip(*ends)) if ends else [[]] * 4
-            empty = [None] * len(ends)
-            spans_ = [pa.concat_arrays([a, pa.array(empty, pa.int64())]) for a in _span_batch(found)]
-            pad = [None] * len(found)
-            return pa.RecordBatch.from_arrays([*spans_, pa.array([*pad, *cols[2]], pa.binary()), pa.array([*pad, *cols[3]], pa.binary()), pa.array([*pad, *cols[1]], pa.int64()), pa.array([*pad, *cols[0]], pa.int64())], ["doc_id", "start", "end", "partner", *_EDGE])
-
-        found: list = []
-        for m in matches(rows()):
-            found.append(m)
-            if len(found) >= 4096:
-                yield batch(found, [])
-                found = []
-        yield batch(found, list(dict.fromkeys([*head, *tail])))
-
-    sorted_ = shown.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    out = written(sorted_.mapInArrow(compare, f"{_SPANS}, edge_right binary, edge_left binary, edge_at long, edge_doc long"))
-
-    def join_ends(batches):
-        rows = (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("edge_doc", "edge_at", "edge_right", "edge_left"))))
-        found = list(matches(rows))  # at most a few for each partition
-        yield pa.RecordBatch.from_arrays(_span_batch(found), ["doc_id", "start", "end", "partner"])
-
-    ends = out.filter("edge_doc is not null").select(*_EDGE).coalesce(1).sortWithinPartitions(*_EDGE[:2], "edge_doc", "edge_at")
-    return out.filter("edge_doc is null").select("doc_id", "start", "end", "partner").unionByName(ends.mapInArrow(join_ends, _SPANS))
+                line = Line(t)
+                if line.n < PASSAGE:  # a repeated doc_id may have other texts
+                    continue
+                p = np.flatnonzero(np.isin(line.minimisers()[0], np.array(places)))
+                h, g = line.hashes(PASSAGE)[p].view(np.int64), line.hashes(PASSAGE, "b")[p].view(np.int64)
+                _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                own: list[list[int] | None] = [None] * len(first)
+                for k in np.flatnonzero(n[inverse] > 1).tolist():  # met more than once here: one row, with all starts
+                    own[inverse[k]] = own[inverse[k]] or []
+                    own[inverse[k]].append(int(p[k]))
+                more += own
+                ids.append(np.full(len(first), i))
+                starts.append(p[first])
+                one.append(h[first])
+                two.append(g[first])
+            yield _batch(["doc_id", "start", "h", "g", "more"], ids, starts, one, two, more=more)
+
+    shown = d.join(retained(d), "doc_id").mapInArrow(extend, "doc_id long, start long, h long, g long, more array<long>")
+    near = Window.partitionBy("h").orderBy("g", "doc_id")
+    beside = lambda f: F.when((f("g").over(near) == F.col("g")) & (f("doc_id").over(near) != F.col("doc_id")), f("doc_id").over(near))
+    found = shown.select("doc_id", "start", "more", F.coalesce(beside(F.lag), beside(F.lead)).alias("partner")).filter("partner is not null")
+    return found.select("doc_id", F.explode(F.coalesce("more", F.array("start"))).alias("start"), "partner")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row for each maximal run of words of a document that passages of PASSAGE words or more, found in other
-    documents as well, cover: doc_id, start_word, end_word (not included), n_words, other_docs (up to 8 of the
-    documents it was compared with, smallest first).
+    """One row for each maximal run of words of a document that is covered by passages of PASSAGE words, each found
+    in another document as well: doc_id, start_word, end_word (not included), n_words, other_docs (the smallest and
+    the largest of the documents that it was found equal to).
 
     Words are runs of anything but ASCII white space, compared as they are. Texts that are null or shorter than
     PASSAGE words and rows without doc_id give no rows; rows of the same doc_id are no other documents to each other.
     Only doc_id and text are read. Empty table: no rows.
     """
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end")  # a document's own spans
-    s = spans(docs).groupBy("doc_id", "start", "end").agg(F.min("partner").alias("p"), F.max("partner").alias("q"))
-    s = s.withColumn("upto", F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("run", F.sum((F.col("upto").isNull() | (F.col("start") > F.col("upto"))).cast("long")).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    out = s.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.concat(F.collect_set("p"), F.collect_set("q")).alias("o"))
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.slice(F.array_sort(F.array_distinct("o")), 1, 8).alias("other_docs"))
+    small_batches(docs.sparkSession)
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
+    by_start = Window.partitionBy("doc_id").orderBy("start")  # a document's own passages
+    s = repeated(d).withColumn("gap", F.col("start") - F.lag("start").over(by_start))
+    opens = F.when(F.col("gap").isNull() | (F.col("gap") > PASSAGE), 1).otherwise(0)
+    s = s.withColumn("run", F.sum(opens).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    out = s.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max("start") + PASSAGE).alias("end_word"), F.array_distinct(F.array(F.min("partner"), F.max("partner"))).alias("other_docs"))
+    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_docs")
