@@ -2,9 +2,8 @@
 
 A passage of PASSAGE words holds PASSAGE - GRAM + 1 grams of GRAM words; the one with the least hash (the minimiser)
 depends on the passage's own words only, so every copy of it selects the same one. Suffixes are retained there alone,
-about one in 18 words. They are sorted by their gram, neighbours are compared, and those that are like no neighbour in
-their first GRAM words go. What is left is extended left and right by the passages whose minimiser it is: each gets a
-128-bit hash of its words, passages are sorted by it, and one counts as repeated if a neighbour of another document is
+about one in 18 words. Those whose first GRAM words, by their hash, are like no other retained suffix's go. What is left is extended left and right by the passages whose minimiser it is: each gets a
+96-bit hash of its words, passages are sorted by it, and one counts as repeated if a neighbour of another document is
 equal. Repeated passages of a document that overlap or touch are then joined to maximal runs.
 
 Comparing retained suffixes with their neighbours word by word would be cheaper still, but the neighbour that is most
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import small_batches, utf8, written
 
 PASSAGE, GRAM = 50, 16
 _BASES = {"a": 0x9E3779B97F4A7C15, "b": 0xD6E8FEB86659FD93}
@@ -62,7 +61,7 @@ class Line:
 
 
 def _batch(names: list[str], *columns: list[np.ndarray], more: list | None = None) -> pa.RecordBatch:
-    arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns]
+    arrays = [pa.array(np.concatenate(c)) if c else pa.array([], pa.int32() if n == "g" else pa.int64()) for n, c in zip(names, columns)]
     return pa.RecordBatch.from_arrays([*arrays, *([pa.array(more, pa.list_(pa.int64()))] if more is not None else [])], names)
 
 
@@ -82,10 +81,10 @@ def retained(d: DataFrame) -> DataFrame:
                     grams.append(h[p].view(np.int64))
             yield _batch(["doc_id", "at", "gram"], ids, at, grams)
 
-    near = Window.partitionBy("gram").orderBy("doc_id", "at")  # neighbours only: no group is held in memory
-    met = F.lag("at").over(near).isNotNull() | F.lead("at").over(near).isNotNull()
-    kept = d.mapInArrow(pick, "doc_id long, at long, gram long").withColumn("met", met).filter("met")
-    return kept.groupBy("doc_id").agg(F.collect_set("at").alias("places"))  # a document's own positions
+    picked = written(d.mapInArrow(pick, "doc_id long, at long, gram long"))
+    # counted with partial sums, then joined: a gram that most documents have can be split over tasks
+    again = written(picked.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    return picked.join(again, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("places"))  # a document's own positions
 
 
 def repeated(d: DataFrame) -> DataFrame:
@@ -99,7 +98,7 @@ def repeated(d: DataFrame) -> DataFrame:
                 if line.n < PASSAGE:  # a repeated doc_id may have other texts
                     continue
                 p = np.flatnonzero(np.isin(line.minimisers()[0], np.array(places)))
-                h, g = line.hashes(PASSAGE)[p].view(np.int64), line.hashes(PASSAGE, "b")[p].view(np.int64)
+                h, g = line.hashes(PASSAGE)[p].view(np.int64), (line.hashes(PASSAGE, "b")[p] >> np.uint64(32)).astype(np.int32)
                 _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 own: list[list[int] | None] = [None] * len(first)
                 for k in np.flatnonzero(n[inverse] > 1).tolist():  # met more than once here: one row, with all starts
@@ -112,7 +111,7 @@ def repeated(d: DataFrame) -> DataFrame:
                 two.append(g[first])
             yield _batch(["doc_id", "start", "h", "g", "more"], ids, starts, one, two, more=more)
 
-    shown = d.join(retained(d), "doc_id").mapInArrow(extend, "doc_id long, start long, h long, g long, more array<long>")
+    shown = d.join(retained(d), "doc_id").mapInArrow(extend, "doc_id long, start long, h long, g int, more array<long>")
     near = Window.partitionBy("h").orderBy("g", "doc_id")
     beside = lambda f: F.when((f("g").over(near) == F.col("g")) & (f("doc_id").over(near) != F.col("doc_id")), f("doc_id").over(near))
     found = shown.select("doc_id", "start", "more", F.coalesce(beside(F.lag), beside(F.lead)).alias("partner")).filter("partner is not null")
