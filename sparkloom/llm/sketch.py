@@ -63,15 +63,17 @@ def sketch_report(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     text sorts first. A null doc_id has no next document and is followed by an empty one. Only doc_id and text are
     read. Empty table: no rows.
     """
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = every.filter("doc_id is not null")  # the same on both sides of the loan, so that texts are shuffled once
     quarter = lambda c: F.floor(F.length(c) / 4).cast("int")
-    ids = written(d.filter("doc_id is not null").groupBy("doc_id").agg(F.max(quarter("text")).alias("k")))
+    ids = written(d.groupBy("doc_id").agg(F.max(quarter("text")).alias("k")))
     order = written(next_ids(ids.select("doc_id")))
     wanted = written(order.join(ids, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "k"))
     lent = with_sketch(d.join(wanted, "doc_id"), "text", "next_sketch", scale)
     lent = lent.select(F.col("for_id").alias("doc_id"), F.struct(F.substring("text", F.lit(1), F.col("k")).alias("head"), "next_sketch").alias("next"))
     lent = lent.groupBy("doc_id").agg(F.min("next").alias("next"))
-    joined = d.join(lent, "doc_id", "left").withColumn("_q", quarter("text"))
+    alone = every.filter("doc_id is null").withColumn("next", F.lit(None).cast(lent.schema["next"].dataType))
+    joined = d.join(lent, "doc_id", "left").unionByName(alone).withColumn("_q", quarter("text"))
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("_q")), F.coalesce(F.substring("next.head", F.lit(1), F.col("_q")), F.lit("")))
     joined = joined.select("doc_id", F.col("text"), F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), F.coalesce("next.next_sketch", F.array().cast("array<long>")).alias("c"))
     joined = with_sketch(with_sketch(joined, "text", "a", scale), "edited", "b", scale)
