@@ -49,6 +49,18 @@ def _places(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(h + np.uint64(i) * step) % np.uint64(bits) for i in range(HASHES)], axis=1).astype(np.int64)
 
 
+def _mask(places: np.ndarray) -> np.ndarray:
+    return np.left_shift(np.uint8(1), (places & 7).astype(np.uint8))
+
+
+def _has(filled: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (filled[places >> 3] & _mask(places)).all(axis=1)
+
+
+def _set(filled: np.ndarray, places: np.ndarray) -> None:
+    np.bitwise_or.at(filled, places.ravel() >> 3, _mask(places.ravel()))
+
+
 def _hashes(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
 
@@ -61,19 +73,18 @@ def repeat_filter(docs: DataFrame, bits: int = FILTER_BITS) -> bytes:
     """The twice-seen filter of the corpus."""
 
     def fill(batches):
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         seen = False
         for b in batches:
             seen = True
             h = _hashes([k for t in utf8(b.column("text")) for k in _keys(t)])
             h, n = np.unique(h, return_counts=True)
             at = _places(h, bits)
-            again = (n > 1) | once[at].all(axis=1)
-            twice[at[again].ravel()] = True
-            once[at.ravel()] = True
+            again = (n > 1) | _has(once, at)
+            _set(twice, at[again])
+            _set(once, at)
         if seen:
-            a, b = (np.packbits(x).reshape(SEGMENTS, -1) for x in (once, twice))
-            del once, twice
+            a, b = once.reshape(SEGMENTS, -1), twice.reshape(SEGMENTS, -1)
             for k in range(SEGMENTS):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(a[k].tobytes(), 1)], pa.binary()), pa.array([zlib.compress(b[k].tobytes(), 1)], pa.binary())], ["segment", "once", "twice"])
 
@@ -109,8 +120,7 @@ def repeats(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
             for i, t in zip(b.column("_id").to_pylist(), utf8(b.column("text"))):
                 if keys := list(_keys(t)):
                     at = _places(_hashes(keys), bits)
-                    hit = ((full[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                    found = [_digest(k) for k, x in zip(keys, hit) if x]
+                    found = [_digest(k) for k, x in zip(keys, _has(full, at)) if x]
                     digests += found
                     ids += [i] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["_id", "digest"])

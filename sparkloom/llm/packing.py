@@ -24,6 +24,8 @@ WINDOW, OPEN = 1024, 32
 #: Partitions whose leftovers meet in one task of the second pass.
 MERGED = 32
 BOUNDARY_ID = 0
+#: The tokenizer file whose vocabulary tiktoken has as well, and the string of its special token.
+TWIN, SPECIAL = "byte_bpe_50k.json", "<|endoftext|>"
 
 _COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -46,12 +48,16 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     texts of plain Latin characters without special tokens' strings; both give the same ids (tests compare them).
     """
     if path not in _cached:
-        from tokenizers import Tokenizer
+        exact: list = []
 
-        exact = Tokenizer.from_file(path)
-        slow = lambda text: exact.encode(text, add_special_tokens=False).ids
-        special = [t.content for t in exact.get_added_tokens_decoder().values()]
-        if not path.endswith("byte_bpe_50k.json"):
+        def slow(text: str) -> list[int]:
+            if not exact:  # most workers never need it
+                from tokenizers import Tokenizer
+
+                exact.append(Tokenizer.from_file(path))
+            return exact[0].encode(text, add_special_tokens=False).ids
+
+        if not path.endswith(TWIN):
             _cached[path] = slow
         else:
             import public_tokenizers
@@ -60,7 +66,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
             with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _cached[path] = lambda text: fast.encode_ordinary(text) if _PLAIN.fullmatch(text) and not any(x in text for x in special) else slow(text)
+            _cached[path] = lambda text: fast.encode_ordinary(text) if _PLAIN.fullmatch(text) and SPECIAL not in text else slow(text)
     return _cached[path]
 
 

@@ -379,7 +379,7 @@ def exact_tokenizer():
 
 def check_pieces(pieces, texts, exact, window=1024):
     """texts: doc_id to list of texts."""
-    ids = {i: sorted([*exact.encode(t or "", add_special_tokens=False).ids, 0] for t in ts) for i, ts in texts.items()}
+    ids = {i: sorted([[*exact.encode(t or "", add_special_tokens=False).ids, 0] for t in ts]) for i, ts in texts.items()}
     at, spent = defaultdict(list), defaultdict(int)
     for p in pieces:
         at[p.sequence_id].append((p.offset, p.length))
@@ -463,3 +463,28 @@ def test_mixing_many_ranges(spark, monkeypatch):
         extra = [(key(r), r.taken / r.size) for r in out if r.source == s and r.size]
         shares = [x for _, x in sorted(extra)]
         assert shares == sorted(shares, reverse=True)
+
+
+def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
+    """run() against brute-force stages, each on what its predecessor kept."""
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "mixing", "packing"]
+    given = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    now = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    model = langid.train(given)
+    now = [r for r in now if not model.predict(r[1])[2]]
+    assert 20 < len(now) < len(given.collect())
+    kept = {i: "\n".join(b) for i, _, _, b in brute_lines(now)}
+    now = [(r[0], kept[r[0]], *r[2:]) for r in now]
+    component = brute_components([r[0] for r in now], [brute_fingerprint(r[1]) for r in now])
+    now = [r for r, c in zip(now, component) if r[0] == c]
+    mixed = [r for r in mixing.mix_report(spark.createDataFrame([(r[0], r[1], r[3]) for r in now], "doc_id long, text string, source string")).collect() if r.taken]
+    text, texts = {r[0]: r[1] for r in now}, defaultdict(list)
+    for r in mixed:
+        texts[r.doc_id] += [text[r.doc_id]] * (r.taken // r.size)
+        if r.taken % r.size:
+            texts[r.doc_id].append(" ".join(text[r.doc_id].split()[: r.taken % r.size]))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert check_pieces(out, texts, exact_tokenizer()) == 0
