@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, words_of, written
 
-WEIGHTS, MOST, RANGE, SALT = (1, 2, 3), 3, 4096, "mix-1"
+WEIGHTS, MOST, RANGE, SALT = (1, 2, 3), 3, 512, "mix-1"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
