@@ -1,9 +1,10 @@
 """Document fingerprints: a threshold-scaled sketch, in DataFrame functions only.
 
 A sketch holds every hash of a text's 5-word shingles that lies in the lowest 1 / SCALE of all hashes, sorted and
-distinct; if none does, the smallest one. The sketch of a union is the union of sketches (less that stand-in), and
-the share of the smaller sketch that the other holds estimates how far the one text is contained in the other, however
-unequal their lengths.
+distinct. Where these are fewer than FLOOR it holds the FLOOR smallest hashes, so that short texts have a sketch as
+well. Up to the smaller of two sketches' thresholds, the sketch of a union is the union of the sketches, and the share
+of the smaller one that the other holds estimates how far the one text is contained in the other, however unequal
+their lengths.
 """
 from __future__ import annotations
 
@@ -12,30 +13,45 @@ from pyspark.sql import functions as F
 
 from .common import hex64, words_of, written
 
-SHINGLE, SCALE = 5, 8
+SHINGLE, SCALE, FLOOR = 5, 8, 32
+
+
+def limit(scale: int) -> int:
+    """The largest hash in the lowest 1 / scale."""
+    return -(1 << 63) + (1 << 64) // scale - 1
 
 
 def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
     """df with the sketch of column text as array<long>. Steps are columns of their own, each used more than once, so
     that the optimizer does not write one into the other's lambda."""
-    most = -(1 << 63) + (1 << 64) // scale - 1
     out = df.withColumn("_w", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
     starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - SHINGLE, F.lit(0)))
     shingles = F.transform(starts, lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(SHINGLE)]))
     out = out.withColumn("_h", F.when(F.size("_w") > 0, shingles).otherwise(F.array().cast("array<long>")))
-    out = out.withColumn("_k", F.filter("_h", lambda h: h <= F.lit(most)))
-    kept = F.when((F.size("_k") == 0) & (F.size("_h") > 0), F.array(F.array_min("_h"))).otherwise(F.array_sort(F.array_distinct("_k")))
-    return out.withColumn(name, kept).drop("_w", "_h", "_k")
+    out = out.withColumn("_k", F.filter("_h", lambda h: h <= F.lit(limit(scale))))
+    out = out.withColumn("_d", F.array_distinct("_k"))
+    kept = F.when(F.size("_d") < FLOOR, F.slice(F.sort_array(F.array_distinct("_h")), 1, FLOOR)).otherwise(F.sort_array("_d"))
+    return out.withColumn(name, kept).drop("_w", "_h", "_k", "_d")
 
 
 def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, hex64), "")
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The share of the smaller sketch that both have; 1 if both are empty, 0 if one is."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
+def with_likeness(df: DataFrame, a: str, b: str, name: str, scale: int = SCALE) -> DataFrame:
+    """df with near_<name>, the share of the smaller sketch that both have, and jaccard_<name>, both up to the smaller
+    of the sketches' thresholds. Two empty sketches: 1; else, with nothing to compare: 0."""
+
+    def threshold(c: str) -> Column:
+        whole = F.size(c) < FLOOR  # all of the text's hashes
+        return F.when(whole, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.lit(limit(scale)), F.element_at(c, -1)))
+
+    out = df.withColumn("_t", F.least(threshold(a), threshold(b)))
+    out = out.withColumn("_a", F.filter(a, lambda h: h <= F.col("_t"))).withColumn("_b", F.filter(b, lambda h: h <= F.col("_t")))
+    out = out.withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+    least, union = F.least(F.size("_a"), F.size("_b")), F.size("_a") + F.size("_b") - F.col("_n")
+    none = F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(0.0)
+    return out.withColumn(f"near_{name}", F.when(least > 0, F.col("_n") / least).otherwise(none)).withColumn(f"jaccard_{name}", F.when(union > 0, F.col("_n") / union).otherwise(none)).drop("_t", "_a", "_b", "_n")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -77,6 +93,5 @@ def sketch_report(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("_q")), F.coalesce(F.substring("next.head", F.lit(1), F.col("_q")), F.lit("")))
     joined = joined.select("doc_id", F.col("text"), F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), F.coalesce("next.next_sketch", F.array().cast("array<long>")).alias("c"))
     joined = with_sketch(with_sketch(joined, "text", "a", scale), "edited", "b", scale)
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    jaccard = lambda x, y: F.when(F.size(x) + F.size(y) > 0, F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y) - F.size(F.array_intersect(x, y)))).otherwise(1.0)
-    return joined.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(a).alias("fingerprint"), as_text(b).alias("edited_fingerprint"), containment(a, b).alias("near_edited"), containment(a, c).alias("near_next"), jaccard(a, b).alias("jaccard_edited"), jaccard(a, c).alias("jaccard_next"))
+    joined = with_likeness(with_likeness(joined, "a", "b", "edited", scale), "a", "c", "next", scale)
+    return joined.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), "near_edited", "near_next", "jaccard_edited", "jaccard_next")
