@@ -68,7 +68,8 @@ def _step(df: DataFrame, key: str, pattern: str, whole: bool) -> DataFrame:
         new = new.replace(":", ";")
     hit = text.rlike(rx)
     none = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(hit, F.regexp_extract_all(text, F.lit(rx), 0)).otherwise(none)).withColumn("_gaps", F.when(hit, F.split(text, rx, -1)).otherwise(none))
+    df = df.withColumn("_m", F.when(hit, F.regexp_extract_all(text, F.lit(rx), 0)).otherwise(none))
+    df = df.withColumn("_gaps", F.when(F.size("_m") > 0, F.split(text, rx, -1)).otherwise(none))
     lens = lambda a: F.transform(a, lambda x: F.length(x))
     at = F.transform("_m", lambda m, i: _sum(lens(F.slice("_gaps", F.lit(1), i + 1))) + _sum(lens(F.slice("_m", F.lit(1), i))))
     df = df.withColumn("_at", at)

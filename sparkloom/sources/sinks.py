@@ -13,12 +13,12 @@ from ..operators.rules import RuleError, load_rules
 
 def structured_pair(assigned: DataFrame, counts: DataFrame, path: str) -> None:
     """<path>_structured.csv and <path>_templates.csv."""
-    assigned.write.mode("overwrite").option("header", True).csv(f"{path}_structured.csv")
-    counts.write.mode("overwrite").option("header", True).csv(f"{path}_templates.csv")
+    assigned.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}_structured.csv")
+    counts.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}_templates.csv")
 
 
 def sequence_csv(seqs: DataFrame, path: str, column: str = "events") -> None:
-    seqs.withColumn(column, F.to_json(column)).write.mode("overwrite").option("header", True).csv(path)
+    seqs.withColumn(column, F.to_json(column)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def fan_out(parsed: DataFrame, folder: str) -> None:
