@@ -44,7 +44,7 @@ plain AS (SELECT doc_id, line_no, trim(regexp_replace(line, '[^\\x00-\\x7F]+', '
 
 
 def lines(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.posexplode(S.split_lines(F.col("text"))).alias("line_no", "line"))
+    return readers.spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(S.split_lines(F.col("text"))).alias("line_no", "line"))
 
 
 def plain(s: SparkSession, d: str) -> DataFrame:

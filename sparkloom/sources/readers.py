@@ -14,6 +14,12 @@ from ..schemas import RAW_LOG
 NO_META = "cast(map() as map<string,string>)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan, dealt out anew if it has fewer partitions than half the cores; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def limited(df: DataFrame, most: int = -1) -> DataFrame:
     """At most so many rows; a negative number is no limit."""
     return df.limit(most) if most >= 0 else df
