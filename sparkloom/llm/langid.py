@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BUCKETS, DIMS, EPOCHS, RATE = 1 << 14, 16, 12, 0.5
-PER_LANGUAGE = 400
+#: Labels that are learned at most, the most frequent ones, and documents of each that are sampled, about.
+LANGUAGES, PER_LANGUAGE = 200, 400
 #: Of clean labelled documents, so many may score below the rejection threshold, which is never above MOST_REJECT.
 FALSE_REJECTS, MOST_REJECT = 0.002, 0.5
 UNKNOWN = "und"
@@ -114,7 +115,7 @@ def train(docs: DataFrame) -> Model:
     """Learns from text and lang of documents that are not held out. Rows without lang, doc_id or letters are left out."""
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null and text is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return fit([])
     rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / n)))])
