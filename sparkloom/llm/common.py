@@ -12,8 +12,8 @@ from ..sources.readers import spread
 
 #: Java and RE2 class of the ASCII white space that ends a word, and its complement.
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch at most: with texts of 100 kB, 25 MB.
-BATCH_ROWS = 256
+#: Rows of an Arrow batch at most: with texts of 100 kB, 6 MB.
+BATCH_ROWS = 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
