@@ -11,8 +11,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .strings import token_index
-
 #: The entity patterns; their order is part of their meaning.
 PATTERNS = {
     "uri": r"(?P<uri>/(?!(dev|proc))([\w\.]+/)+\w+\.php)",
@@ -44,52 +42,47 @@ def java(pattern: str) -> tuple[str, dict[str, int]]:
     return re.sub(r"\(\?P<\w+>", "(", pattern), dict(sorted(groups.items(), key=lambda kv: kv[1]))
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+def _quoted(text: str) -> str:
+    """A SQL string literal. Steps are SQL text, which the JVM parses at once; as Column objects, 18 of them take a
+    thousand round trips."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _span_of(name: str, before: list[Column], back):
-    """Match i's group as a span; before: the groups left of it in the match, each with one character behind."""
+def _sum(a: str) -> str:
+    return f"aggregate({a}, 0, (s, t) -> s + t)"
 
-    def one(v: Column, i: Column) -> Column:
-        start = F.get("_at", i) + sum((F.length(F.get(b, i)) + 1 for b in before), F.lit(0))
-        return F.struct(back(start).cast("int").alias("char_start"), back(start + F.length(v)).cast("int").alias("char_end"), F.lit(name).alias("entity"), v.alias("value"))
 
-    return one
+def _back(p: str) -> str:
+    return f"(({p}) + {_sum(f'transform(filter(_edits, e -> e.at <= ({p})), e -> e.shift)')})"
 
 
 def _step(df: DataFrame, key: str, pattern: str, whole: bool) -> DataFrame:
     """One pattern. whole: '*' for each match and the pattern's name as entity, instead of <GROUP> for each group."""
     rx, groups = java(pattern)
     held = {key: 0} if whole else groups
-    text, edits = F.col("_text"), F.col("_edits")
-    new = "*" if whole else ":".join(f"<{g.upper()}>" for g in held)
-    if not whole and key == "ip_address_user_password":
-        new = new.replace(":", ";")
-    hit = text.rlike(rx)
-    none = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(hit, F.regexp_extract_all(text, F.lit(rx), 0)).otherwise(none))
-    df = df.withColumn("_gaps", F.when(F.size("_m") > 0, F.split(text, rx, -1)).otherwise(none))
-    lens = lambda a: F.transform(a, lambda x: F.length(x))
-    at = F.transform("_m", lambda m, i: _sum(lens(F.slice("_gaps", F.lit(1), i + 1))) + _sum(lens(F.slice("_m", F.lit(1), i))))
-    df = df.withColumn("_at", at)
-    back = lambda p: p + _sum(F.transform(F.filter(edits, lambda e: e["at"] <= p), lambda e: e["shift"]))
+    new = "*" if whole else (";" if key == "ip_address_user_password" else ":").join(f"<{g.upper()}>" for g in held)
+    q, none, n = _quoted(rx), "cast(array() as array<string>)", len(new)
+    every = lambda group: f"regexp_extract_all(_text, {q}, {group})"
+    df = df.withColumn("_m", F.expr(f"if(_text rlike {q}, {every(0)}, {none})"))
+    df = df.withColumn("_gaps", F.expr(f"if(size(_m) > 0, split(_text, {q}, -1), {none})"))
+    lens = lambda a, k: _sum(f"transform(slice({a}, 1, {k}), g -> length(g))")
+    df = df.withColumn("_at", F.expr(f"transform(_m, (m, i) -> {lens('_gaps', 'i + 1')} + {lens('_m', 'i')})"))
     spans = []
-    for n, (name, number) in enumerate(held.items()):
-        values = F.regexp_extract_all(text, F.lit(rx), number)
-        before = [F.regexp_extract_all(text, F.lit(rx), g) for g in list(held.values())[:n]]
-        spans.append(F.transform(values, _span_of(name, before, back)))
-    found = F.when(F.size("_m") > 0, F.concat("_spans", *spans)).otherwise(F.col("_spans"))
-    grown = lambda i: _sum(F.transform(F.slice("_m", F.lit(1), i), lambda m: len(new) - F.length(m)))
-    moved = F.transform(edits, lambda e: F.struct((e["at"] + _sum(F.transform("_m", lambda m, i: F.when(F.get("_at", i) < e["at"], len(new) - F.length(m)).otherwise(0)))).alias("at"), e["shift"].alias("shift")))
-    fresh = F.transform("_m", lambda m, i: F.struct((F.get("_at", i) + grown(i) + len(new)).alias("at"), (F.length(m) - len(new)).alias("shift")))
-    df = df.withColumn("_found", found).withColumn("_edits2", F.when(F.size("_m") > 0, F.concat(moved, fresh)).otherwise(edits))
-    return df.withColumn("_text", F.when(F.size("_m") > 0, F.regexp_replace(text, rx, new.replace("$", r"\$"))).otherwise(text)).drop("_spans", "_edits", "_m", "_gaps", "_at").withColumnsRenamed({"_found": "_spans", "_edits2": "_edits"})
+    for k, (name, number) in enumerate(held.items()):
+        # the groups left of this one in the match, each with one character behind
+        start = " + ".join(["get(_at, i)", *(f"length(get({every(g)}, i)) + 1" for g in list(held.values())[:k])])
+        spans.append(f"transform({every(number)}, (v, i) -> named_struct('char_start', cast({_back(start)} as int), 'char_end', cast({_back(f'{start} + length(v)')} as int), 'entity', {_quoted(name)}, 'value', v))")
+    moved = f"transform(_edits, e -> named_struct('at', e.at + {_sum(f'transform(_m, (m, i) -> if(get(_at, i) < e.at, {n} - length(m), 0))')}, 'shift', e.shift))"
+    grown = _sum(f"transform(slice(_m, 1, i), g -> {n} - length(g))")
+    fresh = f"transform(_m, (m, i) -> named_struct('at', get(_at, i) + {grown} + {n}, 'shift', length(m) - {n}))"
+    text = f"if(size(_m) > 0, regexp_replace(_text, {q}, {_quoted(new.replace('$', chr(92) + '$'))}), _text)"
+    out = {"_spans": f"if(size(_m) > 0, concat(_spans, {', '.join(spans)}), _spans)", "_edits": f"if(size(_m) > 0, concat({moved}, {fresh}), _edits)", "_text": text}
+    return df.withColumns({k: F.expr(x) for k, x in out.items()}).drop("_m", "_gaps", "_at")
 
 
 def to_line(p: Column, edits: Column) -> Column:
     """The offset in the line of an offset in the rewritten text."""
-    return (p + _sum(F.transform(F.filter(edits, lambda e: e["at"] <= p), lambda e: e["shift"]))).cast("int")
+    return (p + F.aggregate(F.filter(edits, lambda e: e["at"] <= p), F.lit(0), lambda s, e: s + e["shift"])).cast("int")
 
 
 def extract_entities(df: DataFrame, column: str, patterns: dict[str, str] | None = None, whole: bool = False) -> DataFrame:
@@ -98,8 +91,11 @@ def extract_entities(df: DataFrame, column: str, patterns: dict[str, str] | None
     out = df.withColumn("_text", F.col(column)).withColumn("_spans", F.array().cast(f"array<{SPAN}>")).withColumn("_edits", F.array().cast("array<struct<at:int,shift:int>>"))
     for key, pattern in (patterns or PATTERNS).items():
         out = _step(out, key, pattern, whole)
-    ordered = F.array_sort(F.transform("_spans", lambda s, i: F.struct(s["char_start"].alias("a"), i.alias("i"), s.alias("s"))))
-    full = F.transform(ordered, lambda x: F.struct(x["s"]["char_start"].alias("char_start"), x["s"]["char_end"].alias("char_end"), token_index(F.col(column), x["s"]["char_start"]).alias("token_start"), (token_index(F.col(column), x["s"]["char_start"]) + 1).alias("token_end"), x["s"]["entity"].alias("entity"), x["s"]["value"].alias("value")))
+    line = "`" + column.replace("`", "``") + "`"
+    token = f"size(filter(split(substring({line}, 1, x.s.char_start), {_quoted(chr(92) + 's+')}), t -> t != ''))"
+    ordered = "array_sort(transform(_spans, (s, i) -> named_struct('a', s.char_start, 'i', i, 's', s)))"
+    fields = {"char_start": "x.s.char_start", "char_end": "x.s.char_end", "token_start": token, "token_end": f"{token} + 1", "entity": "x.s.entity", "value": "x.s.value"}
+    full = F.expr(f"transform({ordered}, x -> named_struct({', '.join(f'{_quoted(k)}, {v}' for k, v in fields.items())}))")
     # always true, but not for the optimizer, which else copies all steps into every filter on what comes out of them
     here = F.monotonically_increasing_id() >= 0
     return out.withColumn("entities", F.when(F.col(column).isNotNull() & here, full)).withColumn("rewritten", F.when(here, F.col("_text"))).drop("_text").drop("_spans").withColumnRenamed("_edits", "edits")
