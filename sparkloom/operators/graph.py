@@ -14,12 +14,12 @@ def _lookup(index: int) -> Column:
 
 def params_of(parsed: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each entity that has a vertex: keep, entity, value, char_start, char_end, token_start, and password,
-    that of the nearest password behind a user of the same log and before the next user."""
+    that of the last password behind a user of the same log and before the next user."""
     rows = parsed.select(*keep, F.posexplode("params").alias("_i", "p")).select(*keep, "_i", "p.entity", "p.value", "p.char_start", "p.char_end", "p.token_start")
     w = Window.partitionBy(*keep).orderBy("_i")
     block = F.sum((F.col("entity") == "user").cast("int")).over(w)
     rows = rows.withColumn("_u", block)
-    held = F.last(F.when(F.col("entity") == "password", F.col("value")), ignorenulls=True).over(Window.partitionBy(*keep, "_u"))
+    held = F.last(F.when(F.col("entity") == "password", F.col("value")), ignorenulls=True).over(Window.partitionBy(*keep, "_u").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("password", F.when((F.col("entity") == "user"), held))
     return rows.filter(F.col("entity").isin(*ENTITY_COLLECTIONS)).drop("_i", "_u")
 

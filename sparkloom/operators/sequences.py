@@ -39,3 +39,9 @@ def split_by_class(rows: DataFrame, label: str, order: Column | str, test_ratio:
 def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """rows in an order that only key and seed decide."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+
+
+def split_statistics(parts: DataFrame, label: str, positive=1) -> DataFrame:
+    """part, n, positive, negative of a split's rows; a null label is neither."""
+    hit = F.col(label) == positive
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.count_if(hit).alias("positive"), F.count_if(~hit).alias("negative"))

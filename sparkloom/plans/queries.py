@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import strings as S
 from ..functions.entities import PATTERNS, extract_entities, java
-from ..operators import features, graph, invariants, metrics, mining, rules, sequences, trees, urls, walks
+from ..operators import features, graph, invariants, links, metrics, mining, rules, sequences, trees, urls, walks
 from ..sources import readers
 from ..streaming import streams
 from . import parse
@@ -465,6 +465,124 @@ def rule_allow_list(s, d):
     return rules.not_listed(table(s, d, "documents").select("source").distinct(), allowed, "source")
 
 
+# ---- tokens of lines, parameters and lookups ----------------------------------------------------------------------
+
+_TEMPLATE = ["user", "*", "did", "view"]
+
+
+def _short_lines(s, d) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select("event_id", "event_type", F.array(F.lit("user"), F.col("user_id").cast("string"), F.lit("did"), "event_type").alias("toks")).withColumn("t", F.array(*map(F.lit, _TEMPLATE)))
+
+
+@query("SELECT event_id, 2 + CAST(event_type = 'view' AS INTEGER) AS n FROM events")
+def greedy_matches(s, d):
+    return _short_lines(s, d).select("event_id", A.matched(F.col("t"), F.col("toks")).alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'view'")
+def template_fits(s, d):
+    return _short_lines(s, d).filter(A.fits(F.col("t"), F.col("toks"))).select("event_id")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN '1,2' ELSE '1' END AS places FROM events")
+def wildcard_positions(s, d):
+    t = F.array(F.lit("user"), F.lit("*"), F.when(F.col("event_type") == "view", "*").otherwise("did"), "event_type")
+    return _short_lines(s, d).select("event_id", F.array_join(A.wildcards(t), ",").alias("places"))
+
+
+@query("SELECT event_id, 6 + length(CAST(user_id AS VARCHAR)) AS third, CAST(NULL AS INTEGER) AS fifth FROM events")
+def token_char_start(s, d):
+    return _short_lines(s, d).select("event_id", S.char_start(F.col("toks"), F.lit(2)).cast("long").alias("third"), S.char_start(F.col("toks"), F.lit(4)).alias("fifth"))
+
+
+@query("SELECT event_id, 3 AS at_type FROM events")
+def token_of_offset(s, d):
+    line = F.concat(F.array_join("toks", " "), F.lit(" x"))
+    return _short_lines(s, d).withColumn("line", line).select("event_id", S.token_index(F.col("line"), F.length(F.array_join(F.slice("toks", 1, 3), " ")) + 1).alias("at_type"))
+
+
+_KINDS = "CASE event_type WHEN 'view' THEN 'user' WHEN 'click' THEN 'user' WHEN 'error' THEN 'password' ELSE 'ip_address' END"
+
+
+def _params(s, d) -> DataFrame:
+    """A log for each user, whose parameters are the events in order."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "user").when(F.col("event_type") == "error", "password").otherwise("ip_address")
+    at = F.lit(0)
+    p = F.struct("event_id", kind.alias("entity"), F.concat(F.lit("v"), F.col("event_id") % 50).alias("value"), at.alias("char_start"), at.alias("char_end"), at.alias("token_start"))
+    return table(s, d, "events").groupBy(F.col("user_id").alias("log_id")).agg(F.array_sort(F.collect_list(p)).alias("params"))
+
+
+@query(f"WITH r AS (SELECT user_id AS log_id, event_id, {_KINDS} AS entity, 'v' || (event_id % 50) AS value FROM events), u AS (SELECT *, sum(CAST(entity = 'user' AS INTEGER)) OVER (PARTITION BY log_id ORDER BY event_id) AS u FROM r), h AS (SELECT log_id, u, arg_max(value, event_id) AS password FROM u WHERE entity = 'password' GROUP BY ALL) SELECT u.log_id, entity, value, CASE WHEN entity = 'user' THEN password END AS password FROM u LEFT JOIN h ON h.log_id = u.log_id AND h.u = u.u WHERE entity <> 'password'")
+def user_passwords(s, d):
+    return graph.params_of(_params(s, d), ["log_id"]).select("log_id", "entity", "value", "password")
+
+
+@query(f"SELECT 'v' || (event_id % 50) AS value, string_agg(CAST(user_id AS VARCHAR), '>' ORDER BY user_id, event_id) AS events FROM events WHERE {_KINDS} = 'ip_address' GROUP BY 1")
+def entity_sequences(s, d):
+    logs = _params(s, d).withColumn("seq", F.col("log_id"))
+    return sequences.entity_sequences(logs, "seq", event="log_id").withColumn("events", F.array_join("events", ">"))
+
+
+@query("SELECT page_id, url, CAST(page_id % 3 = 0 AS BOOLEAN) AS warned FROM pages")
+def url_params_enriched(s, d):
+    p = table(s, d, "pages")
+    parsed = p.select("page_id", F.array(F.struct(F.lit("url").alias("entity"), F.concat(F.col("page_id").cast("string"), F.lit("|"), "url").alias("value")), F.struct(F.lit("number").alias("entity"), F.lit("1").alias("value"))).alias("params"))
+    scored = p.select(F.concat(F.col("page_id").cast("string"), F.lit("|"), "url").alias("url"), (F.col("page_id") % 3 == 0).alias("malicious_warning"))
+    out = urls.enrich_params(parsed, scored, "page_id").filter(F.get("params", F.lit(1))["meta"].isNull())
+    first = F.get("params", F.lit(0))
+    return out.select("page_id", F.substring_index(first["value"], "|", -1).alias("url"), first["meta"]["malicious_warning"].alias("warned"))
+
+
+@query("SELECT e.event_id, CAST(e.user_id AS VARCHAR) AS value FROM events e WHERE e.user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3)")
+def blacklist_lookup(s, d):
+    bad = table(s, d, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").cast("string").alias("value"))
+    return rules.listed(table(s, d, "events").select("event_id", F.col("user_id").cast("string").alias("value")), bad, "value").select("event_id", "value")
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT a.dst AS src, b.dst AS dst FROM both_ways a JOIN both_ways b ON a.src = b.src AND a.dst < b.dst WHERE NOT EXISTS (SELECT 1 FROM both_ways e WHERE e.src = a.dst AND e.dst = b.dst)")
+def link_candidates(s, d):
+    return links.candidates(supply(s, d).select("src", "dst"))
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT least(src, dst) || '|' || greatest(src, dst) AS edge FROM both_ways")
+def edge_tokens(s, d):
+    return supply(s, d).select(S.edge_token(F.col("src"), F.col("dst")).alias("edge")).distinct()
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS dst FROM supplier WHERE s_nationkey = 3")
+def edges_of_vertex(s, d):
+    e = table(s, d, "supplier").select(F.lit("supplies").alias("collection"), F.col("s_nationkey").cast("string").alias("src"), F.col("s_suppkey").cast("string").alias("dst"))
+    return readers.edges_of(e, "supplies", "3").select("dst")
+
+
+# ---- sources that other queries do not read through ----------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT substr(md5('search|' || doc_id || '|0|' || line_no || '|' || line), 1, 8) AS id, 'search' AS source_collection, line FROM lines WHERE line <> ''")
+def search_hit_lines(s, d):
+    hits = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body")).select(F.col("doc_id").alias("id"), F.array(F.struct("body")).alias("results"))
+    return readers.search_hits(hits).drop("metadata")
+
+
+@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS action, event_type = 'error' AS rejected FROM events")
+def logformat_rejects(s, d):
+    line = F.concat(F.when(F.col("event_type") == "error", "no colon ").otherwise("who: "), F.col("event_type"))
+    e = table(s, d, "events").select("event_id", line.alias("line"))
+    return readers.format_columns(e, "<actor>: <action>", drop=False).drop("line", "actor")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_records(s, d):
+    return table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("WITH t AS (SELECT toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY toxic) AS n FROM labels) SELECT CASE WHEN r <= floor(n * 0.5) THEN 'train' ELSE 'test' END AS part, count(*) AS n, count(*) FILTER (toxic = 1) AS positive, count(*) FILTER (toxic <> 1) AS negative FROM t GROUP BY 1")
+def split_statistics(s, d):
+    parts = sequences.split_by_class(table(s, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id", 0.5)
+    return sequences.split_statistics(parts, "toxic")
+
+
 # ---- parse and stream ---------------------------------------------------------------------------------------------
 
 
