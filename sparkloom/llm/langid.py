@@ -42,7 +42,8 @@ def subword_ids(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    """Whether any character is a letter; numerals that are no digits, such as a half, are none."""
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
