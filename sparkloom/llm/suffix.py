@@ -4,7 +4,9 @@ A passage of PASSAGE words holds PASSAGE - GRAM + 1 grams of GRAM words; the one
 depends on the passage's own words only, so every copy of it selects the same one. Suffixes are retained there alone,
 about one in 18 words. Those whose first GRAM words, by their hash, are like no other retained suffix's go. What is left is extended left and right by the passages whose minimiser it is: each gets a
 96-bit hash of its words, passages are sorted by it, and one counts as repeated if a neighbour of another document is
-equal. Repeated passages of a document that overlap or touch are then joined to maximal runs.
+equal. Those of grams that very many suffixes share are sorted by parts, dealt by document, and then the first of each
+part among themselves, so that no passage fills one task. Repeated passages of a document that overlap or touch are
+then joined to maximal runs.
 
 Comparing retained suffixes with their neighbours word by word would be cheaper still, but the neighbour that is most
 alike to the right need not be the one that is alike to the left, so that among many near copies passages get lost.
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, utf8, written
 
 PASSAGE, GRAM = 50, 16
+#: Passages around a gram of more than HOT retained suffixes are compared within SALTS parts first.
+HOT, SALTS = 1000, 16
 _BASES = {"a": 0x9E3779B97F4A7C15, "b": 0xD6E8FEB86659FD93}
 _powers: dict[tuple, np.ndarray] = {}
 
@@ -66,7 +70,8 @@ def _batch(names: list[str], *columns: list[np.ndarray], more: list | None = Non
 
 
 def retained(d: DataFrame) -> DataFrame:
-    """(doc_id, places): the minimiser positions of each document that are like another one in GRAM words."""
+    """(doc_id, places, hot): the minimiser positions of each document that are like another one in GRAM words, and
+    those of them that are like more than HOT."""
 
     def pick(batches):
         for b in batches:
@@ -83,21 +88,22 @@ def retained(d: DataFrame) -> DataFrame:
 
     picked = written(d.mapInArrow(pick, "doc_id long, at long, gram long"))
     # counted with partial sums, then joined: a gram that most documents have can be split over tasks
-    again = written(picked.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    return picked.join(again, "gram", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("places"))  # a document's own positions
+    again = written(picked.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).alias("hot")))
+    return picked.join(again, "gram").groupBy("doc_id").agg(F.collect_set("at").alias("places"), F.collect_set(F.when(F.col("hot"), F.col("at"))).alias("hot"))  # a document's own positions
 
 
 def repeated(d: DataFrame) -> DataFrame:
-    """(doc_id, start, partner): the passages that stand in the document partner as well."""
+    """(doc_id, start, partner, hot): the passages that stand in the document partner as well."""
 
     def extend(batches):
         for b in batches:
-            ids, starts, one, two, more = [], [], [], [], []
-            for i, t, places in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("places").to_pylist()):
+            ids, starts, one, two, often, more = [], [], [], [], [], []
+            for i, t, places, hot in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), b.column("places").to_pylist(), b.column("hot").to_pylist()):
                 line = Line(t)
                 if line.n < PASSAGE:  # a repeated doc_id may have other texts
                     continue
-                p = np.flatnonzero(np.isin(line.minimisers()[0], np.array(places)))
+                least = line.minimisers()[0]
+                p = np.flatnonzero(np.isin(least, np.array(places)))
                 h, g = line.hashes(PASSAGE)[p].view(np.int64), (line.hashes(PASSAGE, "b")[p] >> np.uint64(32)).astype(np.int32)
                 _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 own: list[list[int] | None] = [None] * len(first)
@@ -109,19 +115,31 @@ def repeated(d: DataFrame) -> DataFrame:
                 starts.append(p[first])
                 one.append(h[first])
                 two.append(g[first])
-            yield _batch(["doc_id", "start", "h", "g", "more"], ids, starts, one, two, more=more)
+                often.append(np.isin(least[p[first]], np.array(hot, np.int64)).astype(np.int64))
+            yield _batch(["doc_id", "start", "h", "g", "hot", "more"], ids, starts, one, two, often, more=more)
 
-    shown = d.join(retained(d), "doc_id").mapInArrow(extend, "doc_id long, start long, h long, g int, more array<long>")
-    near = Window.partitionBy("h").orderBy("g", "doc_id")
-    beside = lambda f: F.when((f("g").over(near) == F.col("g")) & (f("doc_id").over(near) != F.col("doc_id")), f("doc_id").over(near))
-    found = shown.select("doc_id", "start", "more", F.coalesce(beside(F.lag), beside(F.lead)).alias("partner")).filter("partner is not null")
-    return found.select("doc_id", F.explode(F.coalesce("more", F.array("start"))).alias("start"), "partner")
+    shown = d.join(retained(d), "doc_id").mapInArrow(extend, "doc_id long, start long, h long, g int, hot long, more array<long>")
+
+    def with_partner(rows: DataFrame, *keys: str) -> DataFrame:
+        near = Window.partitionBy(*keys).orderBy("g", "doc_id")
+        beside = lambda f: F.when((f("g").over(near) == F.col("g")) & (f("doc_id").over(near) != F.col("doc_id")), f("doc_id").over(near))
+        opens = ~F.coalesce(F.lag("g").over(near) == F.col("g"), F.lit(False))
+        return rows.withColumn("partner", F.coalesce(beside(F.lag), beside(F.lead))).withColumn("opens", opens)
+
+    # both branches need the same columns below the window, so that they read one exchange
+    salted = shown.withColumn("part", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    apart = with_partner(salted, "h", "part")
+    columns = ["doc_id", "start", "more", "partner", "hot"]
+    across = with_partner(apart.filter("hot = 1 and opens").withColumnRenamed("partner", "own").drop("opens"), "h").filter("own is null")
+    found = apart.select(columns).unionByName(across.select(columns)).filter("partner is not null")
+    return found.select("doc_id", F.explode(F.coalesce("more", F.array("start"))).alias("start"), "partner", "hot")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row for each maximal run of words of a document that is covered by passages of PASSAGE words, each found
     in another document as well: doc_id, start_word, end_word (not included), n_words, other_docs (the smallest and
-    the largest of the documents that it was found equal to).
+    the largest of the documents that it was found equal to), widespread (whether a passage of it is of those that are
+compared by parts).
 
     Words are runs of anything but ASCII white space, compared as they are. Texts that are null or shorter than
     PASSAGE words and rows without doc_id give no rows; rows of the same doc_id are no other documents to each other.
@@ -133,5 +151,5 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     s = repeated(d).withColumn("gap", F.col("start") - F.lag("start").over(by_start))
     opens = F.when(F.col("gap").isNull() | (F.col("gap") > PASSAGE), 1).otherwise(0)
     s = s.withColumn("run", F.sum(opens).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    out = s.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max("start") + PASSAGE).alias("end_word"), F.array_distinct(F.array(F.min("partner"), F.max("partner"))).alias("other_docs"))
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_docs")
+    out = s.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max("start") + PASSAGE).alias("end_word"), F.array_distinct(F.array(F.min("partner"), F.max("partner"))).alias("other_docs"), F.max("hot").alias("hot"))
+    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_docs", (F.col("hot") == 1).alias("widespread"))

@@ -186,8 +186,10 @@ def runs(places):
     return [tuple(x) for x in out]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_suffix_finds_what_all_windows_find(spark, seed):
+@pytest.mark.parametrize("seed,hot,salts", [(1, 1000, 16), (2, 0, 16), (3, 2, 3)])
+def test_suffix_finds_what_all_windows_find(spark, monkeypatch, seed, hot, salts):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SALTS", salts)
     rows = [r for r in corpus(seed) if r[0] is not None]
     rng = random.Random(seed)
     shared = prose(rng, 500)
@@ -203,7 +205,9 @@ def test_suffix_finds_what_all_windows_find(spark, seed):
     assert all(r.other_docs and r.doc_id not in r.other_docs and r.n_words >= 50 for r in out)
 
 
-def test_suffix_many_copies(spark):
+@pytest.mark.parametrize("hot", [1000, 20])
+def test_suffix_many_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
     rng = random.Random(9)
     base = prose(rng, 120)
     rows = [(i, base if i % 2 else near(rng, base, 2)) for i in range(200)] + [(500 + i, prose(rng, 100)) for i in range(20)]
@@ -214,6 +218,7 @@ def test_suffix_many_copies(spark):
     expected = brute_covered(rows)
     missing = {i: len(p - union[i]) for i, p in expected.items() if p - union[i]}
     assert not missing and set(union) == set(expected)
+    assert any(r.widespread for r in out) == (hot == 20)
     assert all(union[i] <= expected[i] for i in union)
 
 
@@ -235,6 +240,7 @@ def test_language_edges(docs, rows):
     by = {r.doc_id: r for r in out}
     assert [by[i].lang_pred for i in (0, 3, 6, 27)] == ["und"] * 4 and by[9].lang_pred in ("en", "fr")
     assert langid.fit([]).predict("text") == ("und", 0.0, True)
+    assert not langid.has_letter("\u00bd 12 _ \u00b2") and langid.has_letter("\u00bd \u00e9")
     kept = langid.accepted(docs)
     assert kept.columns == docs.columns and {0, 3, 6, 27}.isdisjoint(r.doc_id for r in kept.collect())
 
