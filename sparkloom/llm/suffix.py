@@ -5,7 +5,7 @@ depends on the passage's own words only, so every copy of it selects the same on
 about one in 18 words. Those whose first GRAM words, by their hash, are like no other retained suffix's go. What is left is extended left and right by the passages whose minimiser it is: each gets a
 96-bit hash of its words, passages are sorted by it, and one counts as repeated if a neighbour of another document is
 equal. Those of grams that very many suffixes share are sorted by parts, dealt by document, and then the first of each
-part among themselves, so that no passage fills one task. Repeated passages of a document that overlap or touch are
+part among themselves, so that no passage fills one task and its copies are linked across the parts as well. Repeated passages of a document that overlap or touch are
 then joined to maximal runs.
 
 Comparing retained suffixes with their neighbours word by word would be cheaper still, but the neighbour that is most
@@ -130,7 +130,8 @@ def repeated(d: DataFrame) -> DataFrame:
     salted = shown.withColumn("part", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
     apart = with_partner(salted, "h", "part")
     columns = ["doc_id", "start", "more", "partner", "hot"]
-    across = with_partner(apart.filter("hot = 1 and opens").withColumnRenamed("partner", "own").drop("opens"), "h").filter("own is null")
+    # the first of a part may have a partner in both; without the one across, parts of two and more stay unlinked
+    across = with_partner(apart.filter("hot = 1 and opens").drop("partner", "opens"), "h")
     found = apart.select(columns).unionByName(across.select(columns)).filter("partner is not null")
     return found.select("doc_id", F.explode(F.coalesce("more", F.array("start"))).alias("start"), "partner", "hot")
 

@@ -222,6 +222,37 @@ def test_suffix_many_copies(spark, monkeypatch, hot):
     assert all(union[i] <= expected[i] for i in union)
 
 
+def linked(pairs):
+    """The classes that the pairs connect."""
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    out = defaultdict(set)
+    for x in list(parent):
+        out[root(x)].add(x)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("hot,salts", [(1000, 16), (20, 4)])
+def test_suffix_partners_connect_all_holders(spark, monkeypatch, hot, salts):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SALTS", salts)
+    rng = random.Random(12)
+    passage = prose(rng, 70)
+    rows = [(i, prose(rng, 20) + " " + passage + " " + prose(rng, 20)) for i in range(120)]
+    out = suffix.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    for start in range(20, 41):
+        here = [r for r in out if r.start == start]
+        assert {r.hot for r in here} == {int(hot == 20)}
+        assert linked((r.doc_id, r.partner) for r in here) == [list(range(120))]
+
+
 def test_language_model_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     out = langid.language_report(d).join(d, "doc_id").collect()
