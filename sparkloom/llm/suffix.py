@@ -138,9 +138,10 @@ def repeated(d: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row for each maximal run of words of a document that is covered by passages of PASSAGE words, each found
-    in another document as well: doc_id, start_word, end_word (not included), n_words, other_docs (the smallest and
-    the largest of the documents that it was found equal to), widespread (whether a passage of it is of those that are
-compared by parts).
+    in another document as well: doc_id, start_word, end_word (not included), n_words, other_docs (all documents that
+    its passages were found equal to, sorted: of each passage a neighbour or two, which link all that hold it, so no
+    more than two for each passage of the run), widespread (whether a passage of it is of those that are compared by
+    parts).
 
     Words are runs of anything but ASCII white space, compared as they are. Texts that are null or shorter than
     PASSAGE words and rows without doc_id give no rows; rows of the same doc_id are no other documents to each other.
@@ -152,5 +153,5 @@ compared by parts).
     s = repeated(d).withColumn("gap", F.col("start") - F.lag("start").over(by_start))
     opens = F.when(F.col("gap").isNull() | (F.col("gap") > PASSAGE), 1).otherwise(0)
     s = s.withColumn("run", F.sum(opens).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    out = s.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max("start") + PASSAGE).alias("end_word"), F.array_distinct(F.array(F.min("partner"), F.max("partner"))).alias("other_docs"), F.max("hot").alias("hot"))
+    out = s.groupBy("doc_id", "run").agg(F.min("start").alias("start_word"), (F.max("start") + PASSAGE).alias("end_word"), F.array_sort(F.collect_set("partner")).alias("other_docs"), F.max("hot").alias("hot"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_docs", (F.col("hot") == 1).alias("widespread"))

@@ -253,6 +253,16 @@ def test_suffix_partners_connect_all_holders(spark, monkeypatch, hot, salts):
         assert linked((r.doc_id, r.partner) for r in here) == [list(range(120))]
 
 
+def test_suffix_runs_name_all_partners(spark):
+    passage = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    held = {50: "abc", 10: "a", 20: "dbe", 30: "c", 5: "d", 90: "e"}
+    rows = [(i, " ".join(passage[k] for k in ks)) for i, ks in held.items()]
+    out = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word): r.other_docs for r in out} == {
+        (50, 0, 180): [10, 20, 30], (20, 0, 180): [5, 50, 90], (10, 0, 60): [50], (30, 0, 60): [50], (5, 0, 60): [20], (90, 0, 60): [20],
+    }
+
+
 def test_language_model_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     out = langid.language_report(d).join(d, "doc_id").collect()
