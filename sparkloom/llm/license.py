@@ -3,8 +3,8 @@
 Document frequencies of the templates' words are counted over the whole corpus. Each template is posted under its
 words with their positions. A file's template words are looked up rarest first; a template's rarest word that the file
 has gives the places where the template could start, the other words' positions in the file are intersected with them
-by relative position, and a template holds if enough words meet at one place and its mandatory phrases stand there
-word for word. Short phrases are templates that are mandatory as a whole, so all their places are found.
+by relative position, and a template holds if its mandatory phrase stands there word for word and enough of its other
+words stand before and after it in their order, where words may be put in, left out or replaced. Short phrases are templates that are mandatory as a whole, so all their places are found.
 """
 from __future__ import annotations
 
@@ -32,13 +32,22 @@ TEMPLATES = {
     "gpl-notice": ("it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     "lgpl": ("gnu lesser general public license", "lesser general public license"),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "hereby granted free of charge"),
+    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "hereby granted free of charge"),
     "mit-release": ("released under the mit license", "the mit license"),
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software"),
 }
-#: Share of a template's words that must meet at one place.
-COVER = 0.8
+#: Further sentences for some of the labels: of the license's own text beside its notice, or a shorter wording.
+MORE = [
+    ("apache-2.0", "apache license version 2 0 january 2004", "apache license version 2 0"),
+    ("cc-by", "bound by the terms and conditions of this creative commons attribution 4 0 international public license", "creative commons attribution"),
+    ("cc0", "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights", "automatically confer exclusive copyright and related rights"),
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "hereby granted free of charge"),
+]
+#: Words that make another license of it where they follow the mandatory phrase.
+OTHER = {"cc-by": frozenset(b"noncommercial sharealike noderivatives noderivs non share no".split())}
+#: Share of a template's words that must meet at one place, and how many words may be put in on each side of the phrase.
+COVER, SHIFT = 0.8, 8
 _WORD_BYTES = bytes(i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else i + 32 if 65 <= i <= 90 else 32 for i in range(256))
 
 
@@ -47,6 +56,16 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORD_BYTES).split()
 
 
+def in_order(a: list[bytes], b: list[bytes]) -> int:
+    """How many words a and b have in common in the same order, at most."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, best[j] = best[j], last + 1 if x == y else max(best[j], best[j - 1])
+    return best[-1]
+
+
 @dataclass
 class Template:
     label: str
@@ -59,10 +78,20 @@ class Template:
         n = len(self.must)
         self.at = next(i for i in range(len(self.words)) if self.words[i : i + n] == self.must)
 
+    def cover(self, found: list[bytes], key: int) -> float:
+        """The share of the words that stand around the mandatory phrase at key; a single word on a side has one place."""
+        end = key + len(self.must)
+        if end < len(found) and found[end] in OTHER.get(self.label, ()):
+            return 0.0
+        before, after = self.words[: self.at], self.words[self.at + len(self.must) :]
+        left, right = (len(side) + (SHIFT if len(side) > 1 else 0) for side in (before, after))
+        n = in_order(before, found[max(0, key - left) : key]) + in_order(after, found[end : end + right])
+        return (n + len(self.must)) / len(self.words)
+
 
 def templates() -> list[Template]:
     split = lambda s: s.encode().split()
-    return [Template(v, split(k), split(k), True) for k, v in BASE.items()] + [Template(k, split(t), split(m)) for k, (t, m) in TEMPLATES.items()]
+    return [Template(v, split(k), split(k), True) for k, v in BASE.items()] + [Template(k, split(t), split(m)) for k, t, m in [*((k, *v) for k, v in TEMPLATES.items()), *MORE]]
 
 
 class Index:
@@ -101,15 +130,8 @@ class Index:
                     if starts:
                         best[t.label] = 1.0
                     continue
-                starts = {s for s in starts if found[max(0, s + t.at) : s + t.at + len(t.must)] == t.must and s + t.at >= 0}
-                if not starts:
-                    continue
-                met: Counter = Counter()
-                for j, x in enumerate(t.words):
-                    for p in where.get(x, ()):
-                        if p - j in starts:
-                            met[p - j] += 1
-                cover = max(met.values()) / len(t.words)
+                keys = [s + t.at for s in starts if s + t.at >= 0 and found[s + t.at : s + t.at + len(t.must)] == t.must]
+                cover = max((t.cover(found, key) for key in keys), default=0.0)
                 if cover >= COVER:
                     best[t.label] = max(best.get(t.label, 0.0), cover)
         return best, places
@@ -139,7 +161,7 @@ def build_index(docs: DataFrame) -> Index:
 def license_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row.
 
-    score: the best share of a template's words met at one place (1 for a base phrase, 0 without labels). Null text:
+    score: the best share of a template's words met in order at one place (1 for a base phrase, 0 without labels). Null text:
     empty, no labels (empty strings). Only doc_id and text are read. Empty table: no rows.
     """
     index = build_index(docs)

@@ -408,6 +408,40 @@ def test_license_random_phrases():
         assert sorted(index.scan(license.words(text.encode()))[1]) == sorted(places)
 
 
+MIT = """Copyright (c) 2020 A. N. Other
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+CC0 = "To the extent possible under law, {} has waived all copyright and related or neighboring rights to this work."
+ISC = "Permission to use, copy, modify, {} distribute this software for any purpose with or without fee is hereby granted, provided"
+BSD = "Redistribution and use in source and binary forms, with or without modification, {}are permitted provided that the following conditions are met:"
+
+
+@pytest.mark.parametrize(
+    "label,text",
+    [
+        ("mit-text", MIT), ("mit-text", MIT.replace('(the "Software"), ', "")), ("cc0", CC0.format("the author")), ("cc0", CC0.format("Ada")), ("cc0", CC0.format("the Open Foundation of Somewhere and all others")),
+        ("isc", ISC.format("and/or")), ("isc", ISC.format("and")), ("bsd", BSD.format("")), ("bsd", BSD.format("of any kind, ")),
+        ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+        ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("cc-by", "licensed under the terms of a Creative Commons Attribution 4.0 International License"),
+        ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("unlicense", "This is free and unencumbered software released into the public domain."),
+        ("gpl-notice", "you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation"),
+    ],
+)
+def test_license_real_wording(label, text):
+    index = license.Index(license.templates(), 10, {b"license": 9, b"the": 9})
+    assert label in index.scan(license.words(text.encode()))[0]
+
+
+def test_license_real_wording_of_others():
+    index = license.Index(license.templates(), 10, {b"license": 9, b"the": 9})
+    for text in ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software, to use, study, copy, merge, embed, modify"):
+        assert {"cc-by", "mit-text"}.isdisjoint(index.scan(license.words(text.encode()))[0])
+
+
 def brute_lines(rows):
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(" \t\n\v\f\r"))
     top = (1 << 63) - 1
