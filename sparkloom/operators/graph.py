@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import short_hash
 from ..schemas import ENTITY_COLLECTIONS
+from .components import components
 
 
 def _lookup(index: int) -> Column:
@@ -78,17 +79,6 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def communities(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, community): label propagation of the smallest label over undirected edges, until nothing changes or so
-    many rounds are done; each round is one join and one aggregation, cut by a checkpoint."""
-    from .scratch import cut
-
-    e = undirected(edges).select("src", "dst")
-    labels = cut(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        seen = e.join(labels, e.dst == labels.node).groupBy("src").agg(F.min("community").alias("m"))
-        now = cut(labels.join(seen, labels.node == seen.src, "left").select("node", F.least("community", F.coalesce("m", "community")).alias("community"), (F.col("m") < F.col("community")).alias("moved")))
-        labels = now.select("node", "community")
-        if not now.filter("moved").head(1):
-            break
-    return labels
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community): the smallest node of each node's connected component, however far it is."""
+    return components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("node", F.col("root").alias("community"))

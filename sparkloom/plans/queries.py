@@ -1,7 +1,6 @@
 """Queries over the test tables, one for each operator, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from ..functions import arrays as A
 from ..functions import strings as S
 from ..functions.entities import PATTERNS, extract_entities, java
 from ..operators import features, graph, invariants, links, metrics, mining, rules, sequences, trees, urls, walks
+from ..operators.scratch import scratch_dir
 from ..sources import readers
 from ..streaming import streams
 from . import parse
@@ -602,7 +602,7 @@ def stream_templates(s, d):
     e = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     lines_ = e.select("event_id", F.concat_ws(" ", F.lit("user"), "user_id", F.lit("did"), "event_type").alias("line")).withColumn("tokens", S.tokens(F.col("line")))
     mined = streams.mine_stream(lines_, "event_id", "tokens")
-    folder = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(s)}/stream-{uuid.uuid4().hex}"
     q = mined.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.schema(mined.schema).parquet(f"{folder}/out").select("event_id", "template_then", "event_ord", "is_new")
