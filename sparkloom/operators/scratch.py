@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -63,6 +63,18 @@ def written(df: DataFrame, *done: DataFrame) -> DataFrame:
     return opened(df.sparkSession, path, df.schema)
 
 
+def settled(make: Callable[[], DataFrame], *done: DataFrame) -> DataFrame:
+    """written(make(), *done), without the scratch tables that make() itself has written."""
+    with scope():
+        df = make()
+        path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    if (held := _scope.get()) is not None:
+        held.append((df.sparkSession, path))
+    discard(*done)
+    return opened(df.sparkSession, path, df.schema)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for t in tables:

@@ -21,7 +21,11 @@ def test_scratch_tables_go_with_their_scope(spark):
         b = scratch.written(a.filter("id > 2"), a)
         assert not there(a) and there(b) and sorted(r.id for r in b.collect()) == [3, 4]
     assert not there(b)
-    kept = scratch.written(spark.range(3))
+    inner = []
+    c = scratch.settled(lambda: inner.append(scratch.written(spark.range(4))) or inner[0].filter("id > 1"))
+    assert not there(inner[0]) and c.count() == 2
+    kept = scratch.settled(lambda: spark.range(3), c)
+    assert not there(c)
     with scratch.scope():
         pass
     assert there(kept)
