@@ -1,8 +1,7 @@
-"""Shared pieces: session settings, shared scratch tables, Arrow helpers, connected components."""
+"""Shared pieces: Arrow helpers, text expressions, whole rows beside columns that an operator adds."""
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..sources.readers import spread
 
 #: Java and RE2 class of the ASCII white space that ends a word, and its complement.
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch at most: with texts of 100 kB, 6 MB.
+#: Rows of a slice: with texts of 100 kB, 6 MB.
 BATCH_ROWS = 64
 
 
@@ -20,35 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session (spark.checkpoint.dir); set here only where the session has none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: lineage ends there, so a lost executor costs no
-    recomputation of what stands above, and a table that is read twice is made once."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    spark = table.sparkSession
-    for f in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds of long texts, where the session has Spark's default of 10,000 rows."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (of 64 MB at most, Spark's own bound) in slices of so many rows, which bound what a Python worker
+    makes of them at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -71,20 +47,18 @@ def hex64(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b), root being its component's smallest node.
-
-    Alternates the large-star and small-star steps (Kiveris et al., 2014) until the edges stay the same. Each step is
-    one aggregation and one join; nothing is collected but a count and a checksum of the edges.
-    """
-    edges, before = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
-    while (now := edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != before:
-        before = now
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y"))
-        old, edges = edges, written(small.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        discard(old)
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+def rows_apart(docs: DataFrame, **more: Column) -> DataFrame:
+    """(row, ...): each whole row in one struct, where no column of its own can clash with the columns beside it;
+    text is a string in it. `unpacked` gives the rows back."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
+def with_field(rows: pa.StructArray, name: str, values: pa.Array) -> pa.StructArray:
+    """The rows with one field replaced."""
+    names = [rows.type.field(i).name for i in range(rows.type.num_fields)]
+    return pa.StructArray.from_arrays([values if n == name else x for n, x in zip(names, rows.flatten())], names)
