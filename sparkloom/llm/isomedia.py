@@ -1,7 +1,8 @@
 """ISO media containers (ISO/IEC 14496-12): a walker of nested boxes, a decoder of sample tables, and a writer.
 
-`inspect` reads codec, duration, sample ranges and keyframe byte ranges from boxes alone; payload bytes are only ever
-sliced by those ranges, never decoded.
+`inspect` reads codec, duration, sample ranges and times and keyframe byte ranges from boxes alone, of the movie's own
+tables and of movie fragments; payload bytes are only ever sliced by those ranges, never decoded. Every table is
+checked against the box that holds it and the file before anything of its length is made.
 """
 from __future__ import annotations
 
@@ -15,11 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, utf8
+from .common import pieces, utf8
 
 #: Fixed values of the format: boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+#: Fixed values of the format: flags of fragment headers and runs, and of a sample that is no keyframe.
+BASE_OFFSET, DESCRIPTION, DURATION, SIZE, FLAGS, FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_COMPOSITION = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NO_KEYFRAME = 0x10000
 UNIT, SAMPLE, TIMESCALE, KEYFRAME_EVERY, SAMPLES_IN_CHUNK = 576, 576, 48000, 8, 4
+#: Boxes within boxes, at most.
+DEEPEST = 16
 CODEC = b"raw "
 
 
@@ -56,93 +63,196 @@ def tree(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
             if at != path:
                 yield at, a, b
             if at == path or at[-1] in CONTAINERS:
+                if len(at) > DEEPEST:
+                    raise BadMedia("boxes are nested too deep")
                 stack.append(iter([((*at, kind), x, y) for kind, x, y in boxes(data, a, b)]))
                 break
         else:
             stack.pop()
 
 
-def _full(data, a: int) -> tuple[int, int]:
-    return data[a], a + 4
+def _numbers(data, a: int, end: int, n: int, form: str) -> tuple:
+    """n numbers from a on, which must lie before end."""
+    if a + n * struct.calcsize(f">{form}") > end:
+        raise BadMedia("a table breaks off")
+    return struct.unpack_from(f">{n}{form}", data, a)
 
 
-def _longs(data, a: int, n: int, form: str) -> tuple:
-    try:
-        return struct.unpack_from(f">{n}{form}", data, a)
-    except struct.error as e:
-        raise BadMedia("a table breaks off") from e
+def _counted(data, box: tuple[int, int], form: str = "I", width: int = 1) -> tuple:
+    """The numbers of a table with its length in front."""
+    a, end = box
+    (n,) = _numbers(data, a + 4, end, 1, "I")
+    return _numbers(data, a + 8, end, n * width, form)
 
 
-def sample_ranges(data, table: dict[bytes, tuple[int, int]]) -> list[tuple[int, int]]:
-    """(offset, size) of each sample, from stsz or stz2, stsc, and stco or co64."""
+def sample_sizes(data, table: dict[bytes, tuple[int, int]]) -> list[int]:
+    """From stsz or stz2."""
     if b"stsz" in table:
-        a = table[b"stsz"][0] + 4
-        size, n = _longs(data, a, 2, "I")
-        sizes = [size] * n if size else list(_longs(data, a + 8, n, "I"))
-    elif b"stz2" in table:
-        a = table[b"stz2"][0] + 4
-        field, n = data[a + 3], _longs(data, a + 4, 1, "I")[0]
-        raw = _longs(data, a + 8, n if field > 4 else (n + 1) // 2, "H" if field == 16 else "B")
-        sizes = list(raw) if field > 4 else [x for b in raw for x in (b >> 4, b & 15)][:n]
-    else:
+        a, end = table[b"stsz"]
+        size, n = _numbers(data, a + 4, end, 2, "I")
+        if size and n > len(data) // size:
+            raise BadMedia("samples are larger than the file")
+        return [size] * n if size else list(_numbers(data, a + 12, end, n, "I"))
+    if b"stz2" not in table:
         raise BadMedia("no sample sizes")
+    a, end = table[b"stz2"]
+    field, (n,) = _numbers(data, a + 7, end, 1, "B")[0], _numbers(data, a + 8, end, 1, "I")
+    if field not in (4, 8, 16):
+        raise BadMedia("sizes of an unknown width")
+    raw = _numbers(data, a + 12, end, n if field > 4 else (n + 1) // 2, "H" if field == 16 else "B")
+    return list(raw) if field > 4 else [x for b in raw for x in (b >> 4, b & 15)][:n]
+
+
+def sample_ranges(data, table: dict[bytes, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(offset, size) of each sample, from stsz or stz2, stsc, and stco or co64."""
+    sizes = sample_sizes(data, table)
     wide = b"co64" in table
     if not wide and b"stco" not in table or b"stsc" not in table:
         raise BadMedia("no chunk table")
-    a = table[b"co64" if wide else b"stco"][0] + 4
-    chunks = _longs(data, a + 4, _longs(data, a, 1, "I")[0], "Q" if wide else "I")
-    a = table[b"stsc"][0] + 4
-    flat = _longs(data, a + 4, 3 * _longs(data, a, 1, "I")[0], "I")
+    chunks = _counted(data, table[b"co64" if wide else b"stco"], "Q" if wide else "I")
+    flat = _counted(data, table[b"stsc"], width=3)
     runs = list(zip(flat[::3], flat[1::3]))
     out, k = [], 0
     for i, (first, per) in enumerate(runs):
-        for chunk in range(first, runs[i + 1][0] if i + 1 < len(runs) else len(chunks) + 1):
-            if not 1 <= chunk <= len(chunks):
-                raise BadMedia("a chunk is missing")
-            at = chunks[chunk - 1]
+        last = runs[i + 1][0] if i + 1 < len(runs) else len(chunks) + 1
+        if not 1 <= first <= last <= len(chunks) + 1:
+            raise BadMedia("a chunk is missing")
+        for at in chunks[first - 1 : last - 1]:
             for size in sizes[k : k + per]:
                 out.append((at, size))
                 at += size
             k += per
-    if len(out) < len(sizes) or any(a + n > len(data) for a, n in out):
-        raise BadMedia("samples lie outside the file")
+    if len(out) < len(sizes):
+        raise BadMedia("samples without a chunk")
     return out
 
 
+def sample_times(data, table: dict[bytes, tuple[int, int]], n: int) -> tuple[list[int], int]:
+    """The decoding time of each of n samples and of the end, from stts."""
+    if b"stts" not in table:
+        raise BadMedia("no sample times")
+    flat, out, now = _counted(data, table[b"stts"], width=2), [], 0
+    for count, delta in zip(flat[::2], flat[1::2]):
+        if len(out) + count > n:
+            raise BadMedia("times for more samples than there are")
+        out += range(now, now + count * delta, delta) if delta else [now] * count
+        now += count * delta
+    if len(out) < n:
+        raise BadMedia("samples without a time")
+    return out, now
+
+
+class _Fragment:
+    """One movie fragment: places of its runs' samples, by the rules for base offsets."""
+
+    def __init__(self, data, start: int):
+        self.data, self.start, self.next, self.first = data, start, start, True
+
+    def header(self, a: int, end: int, known: dict[int, tuple]) -> int:
+        """Reads tfhd; the id of its track."""
+        flags, track = _numbers(self.data, a, end, 2, "I")
+        at, self.defaults = a + 8, list(known.get(track, (0, 0, 0)))  # duration, size, flags
+        self.base = self.start if flags & FROM_MOOF or self.first else self.next
+        if flags & BASE_OFFSET:
+            (self.base,), at = _numbers(self.data, at, end, 1, "Q"), at + 8
+        at += 4 * bool(flags & DESCRIPTION)
+        for k, bit in enumerate((DURATION, SIZE, FLAGS)):
+            if flags & bit:
+                (self.defaults[k],), at = _numbers(self.data, at, end, 1, "I"), at + 4
+        self.next, self.first = self.base, False
+        return track
+
+    def run(self, a: int, end: int) -> Iterator[tuple[int, int, int, bool]]:
+        """(offset, size, duration, keyframe) of the samples of a trun."""
+        flags, n = _numbers(self.data, a, end, 2, "I")
+        at, first = a + 8, None
+        if flags & RUN_OFFSET:
+            self.next, at = self.base + _numbers(self.data, at, end, 1, "i")[0], at + 4
+        if flags & RUN_FIRST:
+            (first,), at = _numbers(self.data, at, end, 1, "I"), at + 4
+        own = [k for k, bit in enumerate((RUN_DURATION, RUN_SIZE, RUN_FLAGS)) if flags & bit]
+        width = len(own) + bool(flags & RUN_COMPOSITION)
+        if width == 0 and n * max(self.defaults[1], 1) > len(self.data):
+            raise BadMedia("samples are larger than the file")
+        table = _numbers(self.data, at, end, n * width, "I")
+        for i in range(n):
+            values = list(self.defaults)
+            if i == 0 and first is not None:
+                values[2] = first
+            for j, k in enumerate(own):
+                values[k] = table[i * width + j]
+            yield self.next, values[1], values[0], not values[2] & NO_KEYFRAME
+            self.next += values[1]
+
+
 def inspect(data: bytes) -> list[dict]:
-    """A dict for each track: handler, codec, timescale, duration (units of timescale), samples and keyframes, both
-    as (offset, size) in the file. Raises BadMedia on broken input."""
+    """A dict for each track: track_id, handler, codec, timescale, duration (units of timescale), samples as (offset,
+    size) in the file, times (of decoding) and keyframes, as indices of samples. Raises BadMedia on broken input."""
     tracks: list[dict] = []
+    known: dict[int, tuple] = {}
+    parts: list[tuple[int, int, list]] = []  # of fragments: track, base time (-1: goes on), samples
+    fragment = None
     for path, a, b in tree(data):
         kind = path[-1]
         if kind == b"trak":
-            tracks.append({"table": {}, "handler": "", "codec": "", "timescale": 0, "duration": 0})
+            tracks.append({"track_id": len(tracks) + 1, "handler": "", "codec": "", "timescale": 0, "duration": 0, "table": {}})
+        elif kind == b"trex" and b"mvex" in path:
+            track, _, *defaults = _numbers(data, a + 4, b, 5, "I")
+            known[track] = tuple(defaults)
+        elif kind == b"moof":
+            fragment = _Fragment(data, a - (8 if bytes(data[a - 4 : a]) == kind else 16))
+        elif fragment and kind == b"tfhd":
+            parts.append((fragment.header(a, b, known), -1, []))
+        elif fragment and parts and kind == b"tfdt":
+            parts[-1] = (parts[-1][0], _numbers(data, a + 4, b, 1, "Q" if _numbers(data, a, b, 1, "B")[0] else "I")[0], parts[-1][2])
+        elif fragment and parts and kind == b"trun":
+            parts[-1][2].extend(fragment.run(a, b))
         if not tracks or b"trak" not in path:
             continue
         t = tracks[-1]
-        if kind == b"mdhd":
-            version, at = _full(data, a)
-            t["timescale"], t["duration"] = (_longs(data, at + 16, 1, "I")[0], _longs(data, at + 20, 1, "Q")[0]) if version else _longs(data, at + 8, 2, "I")
+        wide = kind in (b"mdhd", b"tkhd") and _numbers(data, a, b, 1, "B")[0]
+        if kind == b"tkhd":
+            (t["track_id"],) = _numbers(data, a + (20 if wide else 12), b, 1, "I")
+        elif kind == b"mdhd":
+            t["timescale"], t["duration"] = (*_numbers(data, a + 20, b, 1, "I"), *_numbers(data, a + 24, b, 1, "Q")) if wide else _numbers(data, a + 12, b, 2, "I")
         elif kind == b"hdlr":
-            t["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
-        elif kind == b"stsd" and _longs(data, a + 4, 1, "I")[0]:
-            t["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
+            t["handler"] = bytes(data[a + 8 : min(a + 12, b)]).decode("latin-1")
+        elif kind == b"stsd" and _numbers(data, a + 4, b, 1, "I")[0]:
+            t["codec"] = bytes(data[a + 12 : min(a + 16, b)]).decode("latin-1")
         elif path[-2] == b"stbl":
             t["table"][kind] = (a, b)
+    if lost := {p[0] for p in parts} - {t["track_id"] for t in tracks}:
+        raise BadMedia(f"a fragment of no track: {min(lost)}")
     for t in tracks:
-        table = t.pop("table")
-        t["samples"] = sample_ranges(data, table)
-        if b"stss" in table:  # without it every sample is one
-            a = table[b"stss"][0] + 4
-            marks = _longs(data, a + 4, _longs(data, a, 1, "I")[0], "I")
-            if any(not 1 <= m <= len(t["samples"]) for m in marks):
-                raise BadMedia("a keyframe is missing")
-            t["keyframes"] = [t["samples"][m - 1] for m in marks]
-        else:
-            t["keyframes"] = list(t["samples"])
+        _decode(data, t, [p[1:] for p in parts if p[0] == t["track_id"]], t["track_id"] in known)
     return tracks
 
 
+def _decode(data, t: dict, parts: list[tuple[int, list]], fragmented: bool) -> None:
+    table = t.pop("table")
+    none = fragmented and b"stsz" not in table and b"stz2" not in table
+    t["samples"] = [] if none else sample_ranges(data, table)
+    n = len(t["samples"])
+    t["times"], now = ([], 0) if none else sample_times(data, table, n)
+    t["keyframes"] = list(range(n))  # without stss every sample is one
+    if b"stss" in table:
+        t["keyframes"] = [m - 1 for m in _counted(data, table[b"stss"])]
+        if any(not 0 <= m < n for m in t["keyframes"]):
+            raise BadMedia("a keyframe is missing")
+    for base, samples in parts:
+        now = base if base >= 0 else now
+        for at, size, duration, key in samples:
+            if key:
+                t["keyframes"].append(len(t["samples"]))
+            t["samples"].append((at, size))
+            t["times"].append(now)
+            now += duration
+    if parts:
+        t["duration"] = max(t["duration"], now)
+    if any(a < 0 or a + size > len(data) for a, size in t["samples"]):
+        raise BadMedia("samples lie outside the file")
+
+
 def _box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return struct.pack(">I4s", len(body) + 8, kind) + body
@@ -187,49 +297,52 @@ def pad(text: bytes) -> bytes:
 
 
 def feature(track: dict) -> str:
-    frames = ",".join(f"{a}+{n}" for a, n in track["keyframes"])
+    frames = ",".join("{}+{}".format(*track["samples"][k]) for k in track["keyframes"])
     return f"codec={track['codec'].strip()};handler={track['handler']};seconds={track['duration']}/{track['timescale']};samples={len(track['samples'])};keyframes={frames}"
 
 
+_FRAMES = T.ArrayType(T.StructType().add("time", "long").add("offset", "long").add("size", "long"))
+TRACKS = T.ArrayType(T.StructType().add("track_id", "long").add("handler", "string").add("codec", "string").add("timescale", "long").add("duration", "long").add("n_samples", "long").add("keyframes", _FRAMES))
+
+
 def media_columns(files: DataFrame, column: str = "media") -> DataFrame:
-    """files with the columns codec, handler, timescale, duration, n_samples, keyframes (array of offset and size) of
-    the first track, n_tracks, and error. The bytes column is not returned; other columns stay, and ones of these
-    names are replaced. Null or broken bytes: nulls and an error."""
-    names = ["codec", "handler", "timescale", "duration", "n_samples", "keyframes", "n_tracks", "error"]
-    small_batches(files.sparkSession)
-    rest = [c for c in files.columns if c != column and c not in names]
-    frames = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+    """files with tracks, an array of each track's track_id, handler, codec, timescale, duration, n_samples and
+    keyframes (time, offset and size of each), and error.
+
+    The bytes column is not returned; other columns stay whatever their names, but tracks and error are replaced.
+    Null or empty bytes and files without a track: no tracks, and an error that says so. Broken bytes, above all
+    tables that claim what the file cannot hold: null tracks and an error; other rows are not affected. Repeated rows
+    are returned as often as they come. Empty table: no rows."""
+    rest = [c for c in files.columns if c not in (column, "tracks", "error")]
+    frames = pa.list_(pa.struct([(n, pa.int64()) for n in ("time", "offset", "size")]))
+    kind = pa.list_(pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", frames)]))
 
     def row(data):
         try:
             tracks = inspect(data or b"")
-        except (BadMedia, IndexError) as e:
-            return (None,) * 7 + (str(e) or "broken",)
-        if not tracks:
-            return (None,) * 6 + (0, "no track")
-        t = tracks[0]
-        return t["codec"], t["handler"], t["timescale"], t["duration"], len(t["samples"]), [{"offset": a, "size": n} for a, n in t["keyframes"]], len(tracks), None
+        except (BadMedia, IndexError, OverflowError) as e:
+            return None, str(e) or "broken"
+        named = [{k: t[k] for k in ("track_id", "handler", "codec", "timescale", "duration")} | {"n_samples": len(t["samples"]), "keyframes": [{"time": t["times"][i], "offset": t["samples"][i][0], "size": t["samples"][i][1]} for i in t["keyframes"]]} for t in tracks]
+        return named, None if tracks else "no track"
 
     def run(batches):
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), frames, pa.int64(), pa.string()]
-        for b in batches:
-            found = list(zip(*map(row, b.column(column).to_pylist()))) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *map(pa.array, map(list, found), kinds)], [*rest, *names])
+        for b in pieces(batches):
+            found = list(map(row, b.column("media").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.string())], ["row", "tracks", "error"])
 
-    schema = files.select(*rest).schema
-    ranges = T.ArrayType(T.StructType().add("offset", "long").add("size", "long"))
-    for name, kind in zip(names, ("string", "string", "long", "long", "long", ranges, "long", "string")):
-        schema = schema.add(name, kind)
-    return files.select(*rest, column).mapInArrow(run, schema)
+    none = next(f"_{i}" for i in range(len(rest) + 1) if f"_{i}" not in rest)  # a struct needs a field
+    given = files.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast("boolean").alias(none)).alias("row"), F.col(f"`{column}`").alias("media"))
+    out = given.mapInArrow(run, given.select("row").schema.add("tracks", TRACKS).add("error", "string"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "tracks", "error")
 
 
 def media_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each row.
 
     Each text is wrapped into a container, the container's bytes are inspected, and the payload is gathered by the
-    sample ranges found there. Null text: empty. Only doc_id and text are read. Empty table: no rows.
+    sample ranges found there. Null text: empty. Texts of any length are stored whole; null and repeated doc_ids are
+    returned as they come. Only doc_id and text are read, whatever other columns are named. Empty table: no rows.
     """
-    small_batches(docs.sparkSession)
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def row(doc, text):
@@ -241,7 +354,7 @@ def media_report(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for b in batches:
+        for b in pieces(batches):
             found = list(zip(*map(row, b.column("doc_id").to_pylist(), utf8(b.column("text"))))) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays(list(map(pa.array, map(list, found), kinds)), names)
 
