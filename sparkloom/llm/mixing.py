@@ -1,24 +1,29 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within each source the keys are cut into ranges of about RANGE documents; the
-ranges' token counts are summed where they lie and prefix-summed per source, which finds the one range that holds the
-source's exact cut. Ranges below it are taken, those above are not, and only the cut range is sorted. A source of a
-third of all rows is thus no more than many ranges.
+Every document gets a hash-random key. Within each source the keys are cut into ranges of about RANGE documents, and
+those into blocks of BLOCK ranges. Token counts are summed where they lie and prefix-summed per source, first over
+blocks, then over the ranges of the one block that holds the source's exact cut, which finds its range. Ranges below
+it are taken, those above are not, and only the cut range is sorted. A source of a third of all rows is thus no more
+than many ranges, and no task sees them all.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, words_of, written
+from ..operators.scratch import written
+from .common import WORD, rows_apart, unpacked, words_of
 
-WEIGHTS, MOST, RANGE, SALT = (1, 2, 3), 3, 512, "mix-1"
+WEIGHTS, MOST, RANGE, BLOCK, SALT = (1, 2, 3), 3, 512, 4096, "mix-1"
+#: Sources whose plan is broadcast (some MB); that of more is joined by a shuffle.
+FEW = 100_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, source, size, key)"""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws(":", F.lit(SALT), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    return docs.withColumn("_size", size).withColumn("_key", key)
+    return rows_apart(docs, source=F.col("source"), size=size, key=key)
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -42,51 +47,81 @@ def targets(sources: DataFrame) -> DataFrame:
     return t.select(*sources.columns, F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def _mixed(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """rows with _size and _key, each with _taken and its source's _source_size and _target. stats: the same rows,
-    of which only source, _size and _key are read."""
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    sums = written(targets(stats.groupBy("source").agg(F.count("*").alias("n"), F.sum("_size").alias("size"))))
+def _plan(stats: DataFrame) -> DataFrame:
+    """A row for each source, written: source_, source_size, target, epochs, rest (words beyond whole epochs), ranges,
+    cut (the range in which rest ends, -1: none) and before (words in the ranges below it). stats: (source, size, key)."""
+    sums = targets(stats.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     sums = sums.withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0))
     sums = sums.withColumn("rest", F.floor("target") - F.col("epochs") * F.col("size")).withColumn("ranges", F.ceil(F.col("n") / RANGE))
-    u32 = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    at = F.shiftright(u32 * F.col("ranges"), 32)  # u32 * ranges stays below 2^63 for 2^31 ranges
-    s = sums.select(F.col("source").alias("_s"), "ranges", "rest")
-    per_range = stats.select("source", "_size", "_key").join(s, F.col("source").eqNullSafe(F.col("_s"))).groupBy("_s", at.alias("range")).agg(F.sum("_size").alias("sum"), F.first("rest").alias("rest"))
-    before = F.sum("sum").over(Window.partitionBy("_s").orderBy("range")) - F.col("sum")
-    cut = per_range.withColumn("before", before).filter("before <= rest and rest < before + sum").select("_s", F.col("range").alias("cut"), "before")
-    plan = sums.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), F.col("size").alias("_source_size"), F.col("target").alias("_target"), "epochs", "rest", "ranges", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("before", F.lit(0)).alias("before"))
-    plan = written(plan)
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("range", at)
-    whole = joined.filter("range <> cut").withColumn("_extra", F.when(F.col("range") < F.col("cut"), F.col("_size")).otherwise(0))
-    upto = F.sum("_size").over(Window.partitionBy("_s").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, 0))
-    edge = joined.filter("range = cut").withColumn("_upto", upto - F.col("_size") + F.col("before")).withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("rest") - F.col("_upto")))).drop("_upto")
-    return whole.unionByName(edge).withColumn("_taken", F.col("epochs") * F.col("_size") + F.col("_extra"))
+    sums = written(sums.select(F.col("source").alias("source_"), F.col("size").alias("source_size"), "target", "epochs", "rest", "ranges"))
+    same = F.col("source").eqNullSafe(F.col("source_"))
+    ranges = stats.join(_few(sums.select("source_", "ranges")), same).groupBy("source_", _range().alias("range")).agg(F.sum("size").alias("sum"))
+    ranges = written(ranges.withColumn("block", F.floor(F.col("range") / BLOCK)))
+
+    def cut(parts: DataFrame, at: str, before: str) -> DataFrame:
+        """Of each source, the part in which rest ends, and the words before it."""
+        upto = F.sum("sum").over(Window.partitionBy("s").orderBy(at)) - F.col("sum") + F.col(before)
+        rest = sums.select(F.col("source_").alias("r"), "rest")
+        return parts.withColumn("upto", upto).join(_few(rest), F.col("s").eqNullSafe(F.col("r"))).filter("upto <= rest and rest < upto + sum").select("s", F.col(at).alias("cut"), F.col("upto").alias("before"))
+
+    named = ranges.select(F.col("source_").alias("s"), "block", "range", "sum")
+    block = written(cut(named.groupBy("s", "block").agg(F.sum("sum").alias("sum")).withColumn("zero", F.lit(0)), "block", "zero"))
+    inside = named.join(_few(block.select(F.col("s").alias("b"), "cut", "before")), F.col("s").eqNullSafe(F.col("b")) & (F.col("block") == F.col("cut"))).select("s", "range", "sum", "before")
+    found = cut(inside, "range", "before")
+    plan = sums.join(found, F.col("source_").eqNullSafe(F.col("s")), "left")
+    return written(plan.select(*sums.columns, F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("before", F.lit(0)).alias("before")), ranges, block)
+
+
+def _range() -> Column:
+    u32 = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    return F.shiftright(u32 * F.col("ranges"), 32)  # below 2^63 for 2^31 ranges
+
+
+def _few(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.count() <= FEW else sources
+
+
+def _mixed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(row, size, source_size, target, epochs, extra): how often rows (row, source, size, key) are taken whole, and how
+    many words once more."""
+    joined = rows.join(_few(plan), F.col("source").eqNullSafe(F.col("source_"))).withColumn("range", _range())
+    whole = joined.filter("range <> cut").withColumn("extra", F.when(F.col("range") < F.col("cut"), F.col("size")).otherwise(0))
+    upto = F.sum("size").over(Window.partitionBy("source_").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + F.col("before")
+    edge = joined.filter("range = cut").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - upto)))
+    return whole.unionByName(edge).select("row", "size", "source_size", "target", "epochs", F.col("extra").cast("long").alias("extra"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source, source_size, target, taken of each row.
 
-    The size is the number of words; null text: 0. Each source's taken words are the whole part of its target: whole
-    epochs of all its documents, then documents by their keys, the last one in part. Rows of the same doc_id have the
-    same key and are taken shorter ones first. Only doc_id, text and source are read. Empty table: no rows.
+    The size is the number of words of the whole text; null text: 0. Each source's taken words are the whole part of its target: whole
+    epochs of all its documents, then documents by their keys, the last one in part. A null source is one like any
+    other. Rows of the same doc_id have the same key and are taken shorter ones first. Only doc_id, text and source are
+    read, whatever other columns are named. Empty table: no rows.
     """
-    rows = written(_keyed(docs.select("doc_id", "text", "source")).select("doc_id", "source", "_size", "_key"))
-    return _mixed(rows, rows).select("doc_id", F.col("_size").alias("size"), "source", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"))
+    rows = _keyed(docs.select("doc_id", "text", "source")).select(F.struct("row.doc_id", "row.source").alias("row"), "source", "size", "key")
+    rows = written(rows)
+    out = _mixed(rows, _plan(rows.drop("row")))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "size", F.col("row.source").alias("source"), "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: a row for each epoch in which a document is taken, with its columns; a document taken in part
-    keeps its first words, joined by a space (n_chars, if there, follows). Documents without words are not taken."""
-    stats = written(_keyed(docs.select("doc_id", "text", "source")).select("source", "_size", "_key"))
-    rows = _mixed(_keyed(docs), stats)
-    parts = F.array_repeat(F.col("_size"), F.col("epochs").cast("int"))
-    rows = rows.withColumn("_part", F.explode(F.filter(F.concat(parts, F.array(F.col("_extra").cast("long"))), lambda x: x > 0)))
-    text = F.when(F.col("_part") < F.col("_size"), F.array_join(F.slice(words_of(F.col("text")), 1, F.col("_part").cast("int")), " ")).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+    """The mix itself: a row for each epoch in which a document is taken, with its columns, whatever their names; a
+    document taken in part keeps its first words, joined by a space (n_chars, if there, follows).
+
+    Documents without words (null or empty texts) are not taken. Null sources, ties, repeated rows and empty tables as
+    in mix_report; long texts are taken whole but for the one that the cut falls into.
+    """
+    stats = written(_keyed(docs.select("doc_id", "text", "source")).select("source", "size", "key"))
+    rows = _mixed(_keyed(docs), _plan(stats))
+    parts = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.array("extra"))
+    rows = rows.withColumn("part", F.explode(F.filter(parts, lambda x: x > 0)))
+    cut, text = F.col("part") < F.col("size"), F.col("row.text")
+    row = F.col("row").withField("text", F.when(cut, F.array_join(F.slice(words_of(text), 1, F.col("part").cast("int")), " ")).otherwise(text))
+    rows = rows.select(row.alias("row"), cut.alias("cut"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_part") < F.col("_size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        rows = rows.withColumn("row", F.col("row").withField("n_chars", F.when(F.col("cut"), F.length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))))
+    return unpacked(rows, docs.columns)
 
 
 ORACLE = """
