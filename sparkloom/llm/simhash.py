@@ -22,7 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, hex64, small_batches, utf8, written
+from ..operators.components import components
+from ..operators.scratch import written
+from .common import hex64, pieces, rows_apart, unpacked, utf8
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -53,15 +55,16 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of each row; the long has the bits of the unsigned fingerprint."""
-    small_batches(docs.sparkSession)
+    """(doc_id, part, fp long) of each row; part tells texts of one doc_id apart, fp has the bits of the unsigned
+    fingerprint."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             fp = [_signed(fingerprint(t)) for t in utf8(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), pa.array(fp, pa.int64())], ["doc_id", "part", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("part"), text).mapInArrow(run, "doc_id long, part long, fp long")
 
 
 def _masks(bits: range, most: int, least: int = 0) -> list[int]:
@@ -95,30 +98,41 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of rows (doc_id, fp), written."""
+    """(fp, root, component_id) of each distinct fingerprint of rows (doc_id, fp), written; root is the component's
+    smallest fingerprint."""
     first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = written(components(links(written(crowded(first.select("fp"))))).select(F.col("node").alias("fp"), "root"))
+    near = written(crowded(first.select("fp")))
+    edges = written(links(near), near)
+    roots = written(components(edges).select(F.col("node").alias("fp"), "root"), edges)
     least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    merged = roots.join(least, "root").select("fp", "component_id")
-    return written(first.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
+    merged = roots.join(least, "root").select("fp", "root", "component_id")
+    return written(first.join(merged, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")), first, roots)
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach.
 
-    Null or empty text, or only white space: fingerprint zero, linked like any other. A null doc_id is never a
-    component's smallest; a component of nothing else has component_id null. Repeated rows are returned as often as
-    they come. Columns other than doc_id and text are not read. Empty table: no rows.
+    Null or empty text, or only white space: fingerprint zero, linked like any other. Texts of any length are hashed
+    whole. A null doc_id is never a component's smallest; a component of nothing else has component_id null. Repeated
+    rows are returned as often as they come. Columns other than doc_id and text are not read. Empty table: no rows.
     """
-    rows = written(fingerprints(docs))
+    rows = written(fingerprints(docs).drop("part"))
     return rows.join(classes(rows), "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are linked to a smaller doc_id; of a repeated doc_id one row stays. Rows without a
-    doc_id can't be named as a copy and stay. Same columns."""
-    rows = written(fingerprints(docs.filter(F.col("doc_id").isNotNull())))
-    gone = rows.join(classes(rows), "fp").filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_n = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of each component: of its rows with the smallest doc_id, the one whose text's hash is least, and of
+    repeats of that row the one whose other columns sort first as JSON. Same columns, whatever their names.
+
+    It goes by rows and not by ids: texts of one doc_id that are in different components each stay. Rows without a
+    doc_id can't be named as a copy and all stay. Null and empty texts are copies of each other. Empty table: no rows.
+    """
+    rows = written(fingerprints(docs.filter(F.col("doc_id").isNotNull())).distinct())
+    keep = rows.join(classes(rows), "fp").filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "part")).alias("k")).select("k.*")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    others = [f"row.`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    apart = rows_apart(named, doc_id=F.col("doc_id").cast("long"), part=F.xxhash64(F.col("text").cast("string")))
+    kept = apart.join(keep.distinct(), ["doc_id", "part"], "left_semi")
+    first = Window.partitionBy("doc_id", "part").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    kept = kept.withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return unpacked(kept, docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()).withColumn("text", F.col("text").cast("string")))
