@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8, written
+from ..operators.scratch import written
+from .common import pieces, utf8
 
 WINDOW, OPEN = 1024, 32
 #: Partitions whose leftovers meet in one task of the second pass.
@@ -131,10 +132,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ke
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer: a tokenizer file, which must lie at the same path on every worker. Null or empty text: the boundary id
-    alone. Null and repeated doc_ids are packed as they come. Empty table: no rows. Other columns are not read.
+    alone. Null and repeated doc_ids are packed as they come, texts of any length whole. Empty table: no
+    rows. Other columns are not read, whatever their names.
     """
     path = tokenizer or default_tokenizer()
-    small_batches(docs.sparkSession)
 
     def counter(tag: int) -> Callable[[], int]:
         base, n = (tag << 62) + (TaskContext.get().partitionId() << 32), iter(range(1 << 32))
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ke
     def first(batches):
         encode, number = encoder(path), counter(0)
         packer, task = Packer(number, window, keep), TaskContext.get().partitionId()
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
                 ids = np.array([*encode((text or b"").decode("utf-8", "replace")), BOUNDARY_ID], np.uint32)
@@ -156,14 +157,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ke
     def second(batches):
         packer = Packer(counter(1), window, keep)
         out = lambda found: _table([(k[0], a, len(x), _crc(x), k[1], s, o) for k, a, x, s, o in found], False)
-        for b in batches:
+        for b in pieces(batches):
             c = {n: b.column(n).to_pylist() for n in ("doc_id", "start", "doc_tokens", "ids")}
             yield out([r for d, a, n, x in zip(*c.values()) for r in packer.place((d, n), a, np.frombuffer(x, "<u4"))])
         yield out(packer.close())
 
-    pieces = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first, f"{_COLUMNS}, ids binary, task long"))
-    placed = pieces.filter("sequence_id is not null").drop("ids", "task")
+    parts = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(first, f"{_COLUMNS}, ids binary, task long"))
+    placed = parts.filter("sequence_id is not null").drop("ids", "task")
     group = F.floor(F.col("task") / MERGED)
-    tasks = pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    left = pieces.filter("sequence_id is null").withColumn("g", group).repartition(max(1, int(tasks) // MERGED), "g").sortWithinPartitions("g", "task", "doc_id", "start", "ids")
+    tasks = parts.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    left = parts.filter("sequence_id is null").withColumn("g", group).repartition(max(1, int(tasks) // MERGED), "g").sortWithinPartitions("g", "task", "doc_id", "start", "ids")
     return placed.unionByName(left.drop("g").mapInArrow(second, _COLUMNS))

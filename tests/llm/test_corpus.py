@@ -186,23 +186,46 @@ def runs(places):
     return [tuple(x) for x in out]
 
 
-@pytest.mark.parametrize("seed,hot,salts", [(1, 1000, 16), (2, 0, 16), (3, 2, 3)])
-def test_suffix_finds_what_all_windows_find(spark, monkeypatch, seed, hot, salts):
+def brute_partners(rows):
+    """For each text, the document that each repeated passage of it links to."""
+    holders = defaultdict(set)
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 49):
+            holders[tuple(w[k : k + 50])].add(i)
+    found = defaultdict(dict)
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 49):
+            h = holders[tuple(w[k : k + 50])]
+            if len(h) > 1:
+                found[i, t][k] = max(h) if i == min(h) else min(h)
+    return found
+
+
+def brute_passages(rows):
+    out = []
+    for (i, _), starts in brute_partners([r for r in rows if r[0] is not None]).items():
+        for a, z in runs({p for k in starts for p in range(k, k + 50)}):
+            out.append((i, a, z, z - a, sorted({x for k, x in starts.items() if a <= k < z})))
+    return out
+
+
+def passages_of(spark, rows, parts=6):
+    out = suffix.repeated_passages(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(parts)).collect()
+    return sorted(tuple(r) for r in out)
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 1000), (2, 0), (3, 2)])
+def test_suffix_finds_what_all_windows_find(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "SALTS", salts)
-    rows = [r for r in corpus(seed) if r[0] is not None]
+    monkeypatch.setattr(suffix, "CHUNK", 16)
     rng = random.Random(seed)
-    shared = prose(rng, 500)
-    pieces = shared.split()
-    rows += [(1000 + i, prose(rng, 40) + " " + " ".join(pieces[a : a + n]) + " " + prose(rng, 40)) + rows[0][2:] for i, (a, n) in enumerate([(0, 50), (0, 50), (10, 200), (150, 300), (400, 100), (20, 49), (300, 51), (5, 48)])]
-    out = suffix.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
-    expected = {(i, a, b) for i, p in brute_covered(rows).items() for a, b in runs(p)}
-    got = {(r.doc_id, r.start_word, r.end_word) for r in out}
-    union = defaultdict(set)
-    for i, a, b in got:
-        union[i].update(range(a, b))
-    assert {(i, a, b) for i, p in union.items() for a, b in runs(p)} == expected
-    assert all(r.other_docs and r.doc_id not in r.other_docs and r.n_words >= 50 for r in out)
+    rows = [r[:2] for r in corpus(seed)]
+    pieces = prose(rng, 500).split()
+    rows += [(1000 + i, prose(rng, 40) + " " + " ".join(pieces[a : a + n]) + " " + prose(rng, 40)) for i, (a, n) in enumerate([(0, 50), (0, 50), (10, 200), (150, 300), (400, 100), (20, 49), (300, 51), (5, 48)])]
+    rows += [(2000 + i, " ".join(["la"] * n)) for i, n in enumerate((49, 50, 51, 90))] + [(3000, " ".join(pieces[:50])), (3001, " ".join(pieces[-50:]))]
+    assert passages_of(spark, rows) == sorted(brute_passages(rows))
 
 
 @pytest.mark.parametrize("hot", [1000, 20])
@@ -211,15 +234,14 @@ def test_suffix_many_copies(spark, monkeypatch, hot):
     rng = random.Random(9)
     base = prose(rng, 120)
     rows = [(i, base if i % 2 else near(rng, base, 2)) for i in range(200)] + [(500 + i, prose(rng, 100)) for i in range(20)]
-    out = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
-    union = defaultdict(set)
-    for r in out:
-        union[r.doc_id].update(range(r.start_word, r.end_word))
-    expected = brute_covered(rows)
-    missing = {i: len(p - union[i]) for i, p in expected.items() if p - union[i]}
-    assert not missing and set(union) == set(expected)
-    assert any(r.widespread for r in out) == (hot == 20)
-    assert all(union[i] <= expected[i] for i in union)
+    assert passages_of(spark, rows, 7) == sorted(brute_passages(rows))
+
+
+def test_suffix_texts_of_one_doc_id(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"a b c d e f g {passage}"), (1, f"x y z {passage} end"), (1, f"one {passage}"), (2, passage), (2, passage), (3, "short"), (None, passage)]
+    assert passages_of(spark, rows) == [(1, 1, 61, 60, [2]), (1, 3, 63, 60, [2]), (1, 7, 67, 60, [2]), (2, 0, 60, 60, [1])]
+    assert passages_of(spark, [(1, passage), (1, passage), (1, f"x {passage}")]) == []
 
 
 def linked(pairs):
@@ -239,26 +261,21 @@ def linked(pairs):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize("hot,salts", [(1000, 16), (20, 4)])
-def test_suffix_partners_connect_all_holders(spark, monkeypatch, hot, salts):
+@pytest.mark.parametrize("hot", [1000, 20])
+def test_suffix_partners_connect_all_holders(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "SALTS", salts)
     rng = random.Random(12)
     passage = prose(rng, 70)
     rows = [(i, prose(rng, 20) + " " + passage + " " + prose(rng, 20)) for i in range(120)]
-    out = suffix.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    for start in range(20, 41):
-        here = [r for r in out if r.start == start]
-        assert {r.hot for r in here} == {int(hot == 20)}
-        assert linked((r.doc_id, r.partner) for r in here) == [list(range(120))]
+    out = passages_of(spark, rows)
+    assert linked((i, x) for i, _, _, _, other in out for x in other) == [list(range(120))]
 
 
 def test_suffix_runs_name_all_partners(spark):
     passage = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
     held = {50: "abc", 10: "a", 20: "dbe", 30: "c", 5: "d", 90: "e"}
     rows = [(i, " ".join(passage[k] for k in ks)) for i, ks in held.items()]
-    out = suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.start_word, r.end_word): r.other_docs for r in out} == {
+    assert {(i, a, z): other for i, a, z, _, other in passages_of(spark, rows)} == {
         (50, 0, 180): [10, 20, 30], (20, 0, 180): [5, 50, 90], (10, 0, 60): [50], (30, 0, 60): [50], (5, 0, 60): [20], (90, 0, 60): [20],
     }
 
@@ -281,11 +298,63 @@ def test_language_edges(docs, rows):
     by = {r.doc_id: r for r in out}
     assert [by[i].lang_pred for i in (0, 3, 6, 27)] == ["und"] * 4 and by[9].lang_pred in ("en", "fr")
     assert langid.fit([]).predict("text") == ("und", 0.0, True)
+    assert langid.features("abcabc x", 3)[0].size == 3 and abs(langid.features("abcabc x", 3)[1].sum() - 1) < 1e-6
     assert not langid.has_letter("\u00bd 12 _ \u00b2") and langid.has_letter("\u00bd \u00e9")
     kept = langid.accepted(docs)
     assert kept.columns == docs.columns and {0, 3, 6, 27}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def brute_subwords(text):
+    """The pieces of 2 to 4 bytes of each lower-cased word with its edges, by name."""
+    out = []
+    line = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode())
+    for w in line.split():
+        padded = b" " + w + b" "
+        out += [padded[i : i + n] for n in (2, 3, 4) for i in range(len(padded) - n + 1)]
+    return out
+
+
+def brute_bucket(piece):
+    h = 0
+    for c in piece:
+        h = (h * 257 + c) % 2**32
+    h = (h + len(piece)) * 2654435761 % 2**32
+    return (h ^ h >> 15) * 2246822519 % 2**32 >> 18
+
+
+@pytest.mark.parametrize("text", ["a", "The quick: 12 brown  fox", "École n'est pas\tfini", "日本 x"])
+def test_language_subwords_by_hand(text):
+    want = Counter(brute_bucket(p) for p in brute_subwords(text))
+    ids, share = langid.features(text)
+    assert {int(i): round(float(x) * sum(want.values())) for i, x in zip(ids, share)} == want
+
+
+def test_language_step_by_hand():
+    rng = np.random.default_rng(3)
+    e, w, bias = rng.normal(size=(6, 2)), rng.normal(size=(2, 3)), rng.normal(size=3)
+    ids, share, label, rate = np.array([1, 4]), np.array([0.25, 0.75]), 2, 0.3
+    h = [sum(share[k] * e[i][d] for k, i in enumerate(ids)) for d in range(2)]
+    z = [sum(h[d] * w[d][c] for d in range(2)) + bias[c] for c in range(3)]
+    total = sum(np.exp(x) for x in z)
+    g = [np.exp(z[c]) / total - (c == label) for c in range(3)]
+    back = [sum(w[d][c] * g[c] for c in range(3)) for d in range(2)]
+    e2 = [[e[i][d] - (rate * share[list(ids).index(i)] / 0.75 * back[d] if i in ids else 0) for d in range(2)] for i in range(6)]
+    w2 = [[w[d][c] - rate * h[d] * g[c] for c in range(3)] for d in range(2)]
+    b2 = [bias[c] - rate * g[c] for c in range(3)]
+    langid.step(e, w, bias, ids, share, label, rate)
+    assert np.allclose(e, e2) and np.allclose(w, w2) and np.allclose(bias, b2)
+    model = langid.Model(["x", "y", "z"], np.zeros((langid.BUCKETS, 3)), np.array([0.0, 1.0, 0.0]), 1.0, 0.9)
+    assert model.predict("word")[0] == "y" and model.predict("word")[2] and abs(model.predict("word")[1] - np.e / (np.e + 2)) < 1e-12
+
+
+def test_language_learns_every_label(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 300)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k * 26 + i, " ".join([alphabet[i] + alphabet[(i + 3) % 26] + alphabet[(i * 7) % 26]] * 9), f"l{i}") for i in range(26) for k in range(40)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 26
+
+
 def test_sketch_of_text_and_edited_text(docs, rows):
     ids = sorted({r[0] for r in rows if r[0] is not None})
     after = dict(zip(ids, ids[1:] + ids[:1]))
@@ -317,10 +386,29 @@ def test_sketch_is_the_scaled_hash_set(spark):
     hashes = {w: h(f"'{w}'") for w in set(words)}
     lists = spark.createDataFrame([tuple(hashes[x] for x in words[i : i + 5]) for i in range(296)], "a long, b long, c long, d long, e long").selectExpr("xxhash64(a, b, c, d, e) h").collect()
     low = sorted({r.h for r in lists if r.h < -(1 << 63) + (1 << 61)})
-    assert got[0] == (low if len(low) >= sketch.FLOOR else sorted({r.h for r in lists})[: sketch.FLOOR])
+    assert got[0] == (low if len(low) >= sketch.LEAST else sorted({r.h for r in lists})[: sketch.LEAST])
     assert len(got[1]) == 1 and not got[2]
 
 
+def test_sketch_plain_threshold(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, n) for n in (3, 40, 600)]
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    both = sketch.with_sketch(sketch.with_sketch(t, "text", "s", 8, 0), "text", "all", 1, 0).collect()
+    for r in both:
+        assert r.s == [h for h in r["all"] if h <= sketch.limit(8)] and r["all"] == sorted(set(r["all"]))
+    pair = spark.createDataFrame([(sorted(both[1].s), sorted(both[2].s))], "a array<long>, b array<long>")
+    r = sketch.with_likeness(pair, "a", "b", "it", 8, 0).first()
+    assert r.near_it == len(set(both[1].s) & set(both[2].s)) / min(len(both[1].s), len(both[2].s))
+
+
+def test_sketch_repeated_ids_with_one_head(spark):
+    a, b = "abcd efgh ij kl mn op", "abcd efgh qr st uv wx"
+    t = lambda order: spark.createDataFrame([(1, "abcdefgh " * 2), *[(2, x) for x in order]], "doc_id long, text string")
+    one, two = (sorted(map(tuple, sketch.sketch_report(t(x)).collect())) for x in ([a, b], [b, a]))
+    assert one == two and len(one) == 3
+
+
 def test_sketch_estimates_likeness(spark):
     rng = random.Random(6)
     rows = []
@@ -358,23 +446,86 @@ def test_media_walks_boxes(spark):
     (track,) = isomedia.inspect(media)
     assert b"".join(media[a : a + n] for a, n in track["samples"]) == payload
     assert track["codec"] == "raw " and track["duration"] == len(payload) and len(track["keyframes"]) == 5
+    assert track["times"] == list(range(0, len(payload), 576))
     free = struct.pack(">I4s", 8, b"free")
     moved = free + media
     assert isomedia.inspect(moved)[0]["samples"] == track["samples"]
     kinds = [k for k, _, _ in isomedia.boxes(media)]
     assert kinds == [b"ftyp", b"moov", b"mdat"]
-    files = spark.createDataFrame([(1, media, "x"), (2, media[:300], "x"), (3, None, "x"), (4, b"", "x"), (5, free, "x")], "id int, media binary, codec string")
+    files = spark.createDataFrame([(1, media, "x"), (2, media[:300], "x"), (3, None, "x"), (4, b"", "x"), (5, free, "x")], "id int, media binary, row string")
     out = {r.id: r for r in isomedia.media_columns(files).collect()}
-    assert out[1].n_samples == 40 and out[1].keyframes[0].size == 576 and out[1].error is None
-    assert out[2].error and out[3].error == "no track" and out[4].n_tracks == 0 and out[5].n_tracks == 0
+    (one,) = out[1].tracks
+    assert one.n_samples == 40 and one.keyframes[1].size == 576 and one.keyframes[1].time == 8 * 576 and out[1].error is None and out[1].row == "x"
+    assert out[2].error and out[2].tracks is None and all(out[i].error == "no track" and out[i].tracks == [] for i in (3, 4, 5))
     assert isomedia.media_columns(files.limit(0)).collect() == []
 
 
-def test_media_compact_and_narrow_tables():
-    def box(kind, *parts):
-        body = b"".join(parts)
-        return struct.pack(">I4s", len(body) + 8, kind) + body
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def ints(*x):
+    return struct.pack(f">{len(x)}I", *x)
 
+
+def test_media_tables_that_claim_too_much(spark):
+    media = isomedia.wrap(bytes(576 * 8))
+    at = media.index(b"stsz") + 8
+    bad = [media[:at] + ints(size, n) + media[at + 8 :] for size, n in ((576, 2**32 - 1), (1, 2**32 - 1), (0, 2**32 - 1), (576, 9))]
+    at = media.index(b"stts") + 8
+    bad += [media[:at] + ints(1, 2**32 - 1, 576) + media[at + 12 :], media[:at] + ints(2**32 - 1) + media[at + 4 :], media[:at] + ints(1, 7, 576) + media[at + 12 :]]
+    at = media.index(b"stsc") + 8
+    bad += [media[:at] + ints(1, 2**32 - 1) + media[at + 8 :], media[:at] + ints(1, 5) + media[at + 8 :]]
+    for data in bad:
+        with pytest.raises(isomedia.BadMedia):
+            isomedia.inspect(data)
+    deep = b""
+    for _ in range(200):
+        deep = box(b"moov", deep)
+    out = isomedia.media_columns(spark.createDataFrame([(i, x) for i, x in enumerate([*bad, deep, media])], "i int, media binary")).collect()
+    assert all(r.error for r in out if r.i < len(bad) + 1) and [r.error for r in out if r.i == len(bad) + 1] == [None]
+
+
+def two_tracks():
+    """A movie of two tracks whose samples are all in fragments."""
+    def track(number, handler, codec):
+        stbl = box(b"stbl", box(b"stsd", ints(0, 1), box(codec, bytes(8))), box(b"stts", ints(0, 0)), box(b"stsc", ints(0, 0)), box(b"stsz", ints(0, 0, 0)), box(b"stco", ints(0, 0)))
+        return box(b"trak", box(b"tkhd", ints(0, 0, 0, number, 0, 0)), box(b"mdia", box(b"mdhd", ints(0, 0, 0, 1000 * number, 0, 0)), box(b"hdlr", ints(0, 0), handler, bytes(13)), box(b"minf", stbl)))
+
+    trex = lambda n, *x: box(b"trex", ints(0, n, 1, *x))
+    head = box(b"ftyp", b"isom", ints(0)) + box(b"moov", track(1, b"vide", b"avc1"), track(2, b"soun", b"mp4a"), box(b"mvex", trex(1, 40, 0, 0x10000), trex(2, 20, 7, 0)))
+
+    def moof(base, a, b):
+        """a: sizes of the first track, the first a keyframe; b: how many samples of the second."""
+        def whole(offset):
+            one = box(b"traf", box(b"tfhd", ints(0x20000, 1)), box(b"tfdt", struct.pack(">IQ", 1 << 24, base)), box(b"trun", ints(0x205, len(a), offset, 0, *a)))
+            two = box(b"traf", box(b"tfhd", ints(0x20000, 2)), box(b"trun", ints(0x101, b, offset + sum(a), *[20 + k for k in range(b)])))
+            return box(b"moof", one, two)
+
+        return whole(len(whole(0)) + 8)
+
+    payloads = [bytes([k]) * (sum(a) + 7 * b) for k, (a, b) in enumerate([((5, 6, 7), 2), ((9,), 3)])]
+    return head + moof(100, (5, 6, 7), 2) + box(b"mdat", payloads[0]) + moof(220, (9,), 3) + box(b"mdat", payloads[1])
+
+
+def test_media_fragments(spark):
+    data = two_tracks()
+    video, sound = isomedia.inspect(data)
+    one, two = data.index(b"mdat") + 4, data.rindex(b"mdat") + 4
+    assert video["samples"] == [(one, 5), (one + 5, 6), (one + 11, 7), (two, 9)] and video["keyframes"] == [0, 3]
+    assert video["times"] == [100, 140, 180, 220] and video["duration"] == 260 and video["codec"] == "avc1"
+    assert sound["samples"] == [(one + 18, 7), (one + 25, 7), (two + 9, 7), (two + 16, 7), (two + 23, 7)] and sound["keyframes"] == [0, 1, 2, 3, 4]
+    assert sound["times"] == [0, 20, 41, 61, 82] and sound["handler"] == "soun" and sound["timescale"] == 2000
+    (r,) = isomedia.media_columns(spark.createDataFrame([(data,)], "media binary")).collect()
+    assert [(t.track_id, t.n_samples, len(t.keyframes)) for t in r.tracks] == [(1, 4, 2), (2, 5, 5)] and r.error is None
+    at = data.index(b"trun") + 8
+    for broken in (data[:-1], data[:at] + ints(2**32 - 1) + data[at + 4 :], data[: data.index(b"tfhd") + 8] + ints(9) + data[data.index(b"tfhd") + 12 :]):
+        with pytest.raises(isomedia.BadMedia):
+            isomedia.inspect(broken)
+
+
+def test_media_compact_and_narrow_tables():
     data = box(b"stz2", b"\0\0\0\0\0\0\0\4", struct.pack(">I", 3), bytes([0x21, 0x30])) + box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 3, 1)) + box(b"stco", struct.pack(">III", 0, 1, 4))
     table = {k: (a, b) for k, a, b in isomedia.boxes(data)}
     assert isomedia.sample_ranges(data, table) == [(4, 2), (6, 1), (7, 3)]
@@ -456,10 +607,35 @@ def brute_lines(rows):
         yield i, t, lines, kept
 
 
-@pytest.mark.parametrize("bits", [linededup.FILTER_BITS, 1 << 12])
-def test_lines_against_brute_force(docs, rows, bits):
+@pytest.mark.parametrize("small", [False, True])
+def test_lines_against_brute_force(docs, rows, monkeypatch, small):
+    if small:  # many segments, in rounds, and tasks of several chunks
+        for name, value in (("SEGMENT_BITS", 64), ("ROUND_BYTES", 40), ("CHUNK", 5), ("BITS", 2)):
+            monkeypatch.setattr(linededup, name, value)
+    expected = [(i, len(a), len(a) - len(b), hashlib.sha256("\n".join(b).encode()).hexdigest()) for i, _, a, b in brute_lines(rows)]
+    same(linededup.line_report(docs), expected)
+
+
+@pytest.mark.parametrize("segments", [3, 4096])
+def test_lines_filters_grow_with_the_lines(spark, monkeypatch, segments):
+    """Whatever the size: nearly no line that stands once is suspected, and every one that stands twice is."""
+    monkeypatch.setattr(linededup, "SEGMENT_BITS", 1 << 10)
+    monkeypatch.setattr(linededup, "SEGMENTS", segments)
+    n = 60_000
+    rows = spark.range(n).selectExpr("id as doc_id", f"concat('a line of its own ', id, '\nline of two documents ', id % {n // 2}) as text", "id % 7 as k").filter(f"doc_id < {n // 2} or doc_id % 10 = 0")
+    keyed = linededup._keyed(rows)
+    lines = linededup.line_table(keyed)
+    found = linededup.suspects(lines)
+    twice = rows.selectExpr("explode(split(text, '\n')) as x").groupBy("x").count().filter("count > 1").selectExpr("sum(count)").first()[0]
+    assert lines.count() > 50 * (1 << 10) and found.dropDuplicates().count() == found.count()
+    assert twice <= found.count() <= twice + 0.01 * (lines.count() - twice)
+
+
+def test_lines_of_rows_without_id(spark):
+    texts = [f"a line that is the same\nand one that is not {i}" for i in range(40)]
+    rows = [(None, t) for t in texts] + [(7, texts[0]), (7, texts[1]), (7, texts[1])]
     expected = [(i, len(a), len(a) - len(b), hashlib.sha256("\n".join(b).encode()).hexdigest()) for i, _, a, b in brute_lines(rows)]
-    same(linededup.line_report(docs, bits), expected)
+    same(linededup.line_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), expected)
 
 
 def test_lines_stage(docs, rows):
@@ -563,6 +739,54 @@ def test_mixing_many_ranges(spark, monkeypatch):
         assert shares == sorted(shares, reverse=True)
 
 
+#: Names that the operators use themselves, in any step.
+OWN = "row id part hi lo gone first last n hot_ segment twice fp root component_id k centre key size source_ source_size target epochs rest ranges cut before range block sum extra zero upto s b r lang_pred score rejected held_out chance rate n_lines n_dropped fingerprint _w _h rid at gram".split()
+
+
+@pytest.mark.parametrize("stage", [langid.accepted, linededup.without_repeats, simhash.one_of_each, mixing.mix])
+def test_stages_leave_other_columns_alone(spark, stage):
+    rng = random.Random(4)
+    texts = [prose(rng, 30), prose(rng, 31), prose(rng, 32) + "\nand a common line", prose(rng, 33) + "\nand a common line", None, ""]
+    rows = [(i, t, "en", "ab"[i % 2], len(t or ""), *[f"{c} {i}" for c in OWN]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in OWN))
+    plain = stage(docs.select("doc_id", "text", "lang", "source", "n_chars")).collect()
+    out = stage(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((r.doc_id, r.text or "") for r in plain) and len(got) > 2
+    assert all(r[c] == f"{c} {r.doc_id}" for r in got for c in OWN)
+
+
+@pytest.mark.parametrize("report", [simhash.simhash_components, suffix.repeated_passages, langid.language_report, sketch.sketch_report, isomedia.media_report, license.license_report, linededup.line_report, packing.pack, mixing.mix_report])
+def test_reports_ignore_other_columns(spark, report):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 70), "en", "a", *["x"] * len(OWN)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in OWN))
+    drop = lambda out: out.drop("sequence_id")
+    assert sorted(map(str, drop(report(docs)).collect())) == sorted(map(str, drop(report(docs.select("doc_id", "text", "lang", "source"))).collect()))
+
+
+def test_simhash_stage_goes_by_rows(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 200) for _ in range(3))
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "y"), (2, b, "a"), (3, c, "z"), (3, b, "z"), (3, c, "z"), (4, c, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(4)
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == sorted([(1, a, "x"), (2, b, "a"), (3, c, "z")])
+
+
+def test_mixing_blocks_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 3)
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randrange(0, 9)), "hot" if i % 3 else f"s{i % 5}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    small = sorted(map(tuple, mixing.mix_report(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted(map(tuple, mixing.mix_report(docs).collect())) == small
+    monkeypatch.setattr(mixing, "RANGE", 512)
+    assert sorted(map(tuple, mixing.mix_report(docs).collect())) == small
+
+
 def test_pipeline_stage_by_stage(spark, docs, rows, tmp_path):
     """run() against brute-force stages, each on what its predecessor kept."""
     import corpus_pipeline
