@@ -10,8 +10,9 @@ the intervals of suffixes that agree to the right by so many words, and within a
 left by the rest of the passage are the copies of that passage. Only comparing each suffix with its two neighbours
 would lose passages: among near copies the neighbour that is most alike to the right need not be the one to the left.
 
-A gram that very many suffixes have is not gathered: its suffixes are dealt evenly, each gives a hash for every
-passage that selected it, and equal ones are counted with partial sums. Both ways give the same rows.
+A gram that very many suffixes have is not gathered: its suffixes are dealt evenly, and those with equal contexts are
+joined to one class with partial sums. Each class gives a hash for every passage that selected it, and equal ones are
+joined in turn; what a class finds goes to all its suffixes. Both ways give the same rows.
 """
 from __future__ import annotations
 
@@ -31,12 +32,14 @@ PASSAGE, GRAM = 50, 16
 #: Words of a passage beside its gram.
 SPAN = PASSAGE - GRAM
 #: Suffixes with one gram that are sorted in one task, and suffixes that a task compares at a time.
-HOT, CHUNK = 1000, 1 << 15
+HOT, CHUNK = 1000, 1 << 14
 _BASE, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
 
 _SUFFIXES = "gram long, hot boolean, doc_id long, rid long, at int, least int, most int, right binary, left binary"
-_FOUND = "doc_id long, rid long, lo int, hi int, partner long, one long, two long"
+_FOUND = "doc_id long, rid long, lo int, hi int, partner long, gram long, least int, most int, right binary, left binary"
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+_PASSAGES = "one long, two long, first long, last long, k int, a long, b long"
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -160,11 +163,6 @@ def _numbers(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def _batch(columns: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) if len(c) else pa.array([], k) for c, k in zip(columns, kinds)], ["doc_id", "rid", "lo", "hi", "partner", "one", "two"])
-
-
 def compare(t: pa.Table) -> pa.RecordBatch:
     """The passages, as runs (lo to hi) of starts with the same partner, that suffixes of another document have.
     t: suffixes sorted by gram and right, no gram cut."""
@@ -198,24 +196,43 @@ def compare(t: pa.Table) -> pa.RecordBatch:
     ends[:, :-1] &= ~found[:, 1:] | (partner[:, 1:] != partner[:, :-1])
     row, a = np.nonzero(opens)
     z = np.nonzero(ends)[1]
-    at, none = _numbers(t, "at")[row], pa.nulls(len(row), pa.int64())
-    return _batch([doc[row], _numbers(t, "rid")[row], (at - z).astype(np.int32), (at - a).astype(np.int32), partner[row, a], none, none])
-
-
-def passages(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """A row with a 128-bit hash for each passage that selected a suffix."""
-    least, most, at = (_numbers(t, c) for c in ("least", "most", "at"))
-    gram = _numbers(t, "gram").view(np.uint64)
-    right, left = _matrix(t.column("right").combine_chunks()), _matrix(t.column("left").combine_chunks())
-    hashes = []
-    for seed in (2, 3):
-        r, x = _running(right, seed), _running(left, seed + 2)
-        with np.errstate(over="ignore"):
-            hashes.append([((r[:, SPAN - k] ^ gram) * np.uint64(_MIX[0]) + x[:, k] * np.uint64(_MIX[1]) + np.uint64(k)).view(np.int64) for k in range(SPAN + 1)])
-    for k in range(SPAN + 1):
-        own = np.flatnonzero((least <= k) & (k <= most))
-        start = (at[own] - k).astype(np.int32)
-        yield _batch([_numbers(t, "doc_id")[own], _numbers(t, "rid")[own], start, start, pa.nulls(len(own), pa.int64()), hashes[0][k][own], hashes[1][k][own]])
+    at, n = _numbers(t, "at")[row], len(row)
+    none = [pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 2, *[pa.nulls(n, pa.binary())] * 2]
+    found = [pa.array(x) for x in (doc[row], _numbers(t, "rid")[row], (at - z).astype(np.int32), (at - a).astype(np.int32), partner[row, a])]
+    return pa.RecordBatch.from_arrays([*found, *none], _NAMES)
+
+
+def passages(batches) -> Iterator[pa.RecordBatch]:
+    """A row with a 128-bit hash (a, b) for each passage that selected a class of suffixes, k words before them."""
+    for t in batches:
+        least, most, gram = _numbers(t, "least"), _numbers(t, "most"), _numbers(t, "gram").view(np.uint64)
+        right, left = _matrix(t.column("right")), _matrix(t.column("left"))
+        hashes = []
+        for seed in (2, 3):
+            r, x = _running(right, seed), _running(left, seed + 2)
+            with np.errstate(over="ignore"):
+                hashes.append([((r[:, SPAN - k] ^ gram) * np.uint64(_MIX[0]) + x[:, k] * np.uint64(_MIX[1]) + np.uint64(k)).view(np.int64) for k in range(SPAN + 1)])
+        for k in range(SPAN + 1):
+            own = np.flatnonzero((least <= k) & (k <= most))
+            columns = [_numbers(t, c)[own] for c in ("one", "two", "first", "last")]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, [*columns, np.full(len(own), k, np.int32), hashes[0][k][own], hashes[1][k][own]])), ["one", "two", "first", "last", "k", "a", "b"])
+
+
+def widespread(often: DataFrame) -> DataFrame:
+    """What repeated() returns, of suffixes (doc_id, rid, at, gram, least, most, right, left) of any number for a gram."""
+    context = ("gram", "right", "left")
+    named = written(often.withColumn("one", F.xxhash64(*context)).withColumn("two", F.xxhash64(F.lit(1), *reversed(context))))
+    same = [F.first(c).alias(c) for c in (*context, "least", "most")]
+    classes = written(named.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), *same))
+    every = written(classes.mapInArrow(lambda batches: passages(pieces(batches, CHUNK)), _PASSAGES))
+    met = every.groupBy("a", "b").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count("*").alias("n")).filter("least < most")
+    met = skew_join(every.select("one", "two", "k", "a", "b"), written(met), ["a", "b"], "n")
+    by = ["one", "two", "least", "most"]
+    runs = met.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*by).orderBy("k")))  # of 35 passages
+    runs = runs.groupBy(*by, "run").agg(F.min("k").alias("a"), F.max("k").alias("z")).join(classes.select("one", "two", "n"), ["one", "two"])
+    out = skew_join(named.select("one", "two", "doc_id", "rid", "at"), written(runs.drop("run")), ["one", "two"], "n")
+    partner = F.when(F.col("doc_id") == F.col("least"), F.col("most")).otherwise(F.col("least"))
+    return out.select("doc_id", "rid", (F.col("at") - F.col("z")).alias("lo"), (F.col("at") - F.col("a")).alias("hi"), partner.alias("partner"))
 
 
 def repeated(d: DataFrame) -> DataFrame:
@@ -228,8 +245,8 @@ def repeated(d: DataFrame) -> DataFrame:
         for b in batches:
             hot = b.column("hot")
             if len(often := b.filter(hot)):
-                for i in range(0, len(often), CHUNK):
-                    yield from passages(pa.Table.from_batches([often.slice(i, CHUNK)]))
+                at, own = often.column("at"), [often.column(c) for c in ("gram", "least", "most", "right", "left")]
+                yield pa.RecordBatch.from_arrays([often.column("doc_id"), often.column("rid"), at, at, pa.nulls(len(often), pa.int64()), *own], _NAMES)
             held.append(b.filter(pc.invert(hot)))
             n += len(held[-1])
             if n >= CHUNK:
@@ -246,12 +263,8 @@ def repeated(d: DataFrame) -> DataFrame:
     key = F.when(F.col("hot"), F.xxhash64("rid", "at")).otherwise(F.col("gram"))
     dealt = suffixes(d, places).withColumn("key", key).repartition("key").sortWithinPartitions("hot", "gram", "right").drop("key")
     rows = written(dealt.mapInArrow(search, _FOUND), places)
-    names = ["doc_id", "rid", "lo", "hi", "partner"]
-    often = written(rows.filter("one is not null").drop("partner"))
-    held = written(often.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last"))
-    met = skew_join(often, held, ["one", "two"], "n").withColumn("partner", F.when(F.col("doc_id") == F.col("first"), F.col("last")).otherwise(F.col("first")))
-    out = written(rows.filter("one is null").select(names).unionByName(met.select(names)), rows, often, held)
-    return out
+    often = widespread(rows.filter("gram is not null").withColumnRenamed("lo", "at"))
+    return written(rows.filter("gram is null").select(often.columns).unionByName(often), rows)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
