@@ -33,13 +33,46 @@ PATTERNS = {
     "number": r"(?P<number>\b(?<=\s)\d+(?=\s)\b)",
 }
 
+#: Start of a run of a mail name's characters, or the end of the match before.
+_RUN = r"(?:\G|(?<![a-zA-Z0-9_.+-]))"
+#: First slash of a path (a later one starts nothing that the one before it would not, unless that one is barred), and
+#: the segments up to its name.
+_SLASH = r"(?:\G|(?<!/(?!dev|proc)[\w.]{1,255}))"
+_PATH = r"(?=[\w.])(?:(?!//)[\w./]){2,}(?<=[\w.]/)"
+#: Patterns by key that match the same in Java's engine without recursion or a new scan from each place of a run: it
+#: recurses once for each round of a group of varying length, and overflows its stack on a token of some kilobytes.
+#: Loops are over single characters here, or give nothing back.
+_FLAT = {
+    "uri": rf"{_SLASH}(?P<uri>/(?!(dev|proc)){_PATH}\w+\.php)",
+    "email_ip_address_password": _RUN + PATTERNS["email_ip_address_password"],
+    "email_password": _RUN + PATTERNS["email_password"],
+    "email": _RUN + PATTERNS["email"],
+    "device": r"(?P<device>/dev(/[\w\.]++)++)",
+    "process": r"(?P<process>/proc(/[\w\.]++)++)",
+    "file": rf"{_SLASH}(?P<file>/(?!(dev|proc)){_PATH}\w+(?!\.php)(\.\w+)?)",
+    "version": r"(?P<version>\b[vV]?\d+\.\d(?:(?!\.(?!\d))[\d.])*(?<=\d)(-[0-9a-zA-Z]+)?\b)",
+}
+_FLAT_OF = {PATTERNS[k]: v for k, v in _FLAT.items()}
+#: What a text must hold, or else it need not be searched for the pattern.
+_HOLDS = {"uri": ".php", "url": "://", "email_ip_address_password": "@", "email_password": "@", "email": "@", "device": "/dev/", "process": "/proc/", "ip_address_user_password": ";", "ip_address": ".", "memory_address": "0x", "uuid": "-", "clock_speed": "GHz", "file": "/", "version": "."}
+
 SPAN = "struct<char_start:int,char_end:int,entity:string,value:string>"
 
 
 def java(pattern: str) -> tuple[str, dict[str, int]]:
-    """The pattern with groups by number instead of name, and the names' numbers in order."""
-    groups = re.compile(pattern).groupindex
-    return re.sub(r"\(\?P<\w+>", "(", pattern), dict(sorted(groups.items(), key=lambda kv: kv[1]))
+    """The pattern for Java's engine, with groups by number instead of name, and the names' numbers in order."""
+    flat, names, number = _FLAT_OF.get(pattern, pattern), {}, 0
+    for m in re.finditer(r"\\.|\[(?:\\.|[^\]\\])*\]|\((?:\?P<(\w+)>|(?!\?))", flat):
+        if m.group().startswith("("):
+            number += 1
+            if m[1]:
+                names[m[1]] = number
+    return re.sub(r"\(\?P<\w+>", "(", flat), names
+
+
+def numbered(pattern: str) -> str:
+    """The pattern as it stands, with groups by number instead of name."""
+    return re.sub(r"\(\?P<\w+>", "(", pattern)
 
 
 def _quoted(text: str) -> str:
@@ -63,21 +96,22 @@ def _step(df: DataFrame, key: str, pattern: str, whole: bool) -> DataFrame:
     new = "*" if whole else (";" if key == "ip_address_user_password" else ":").join(f"<{g.upper()}>" for g in held)
     q, none, n = _quoted(rx), "cast(array() as array<string>)", len(new)
     every = lambda group: f"regexp_extract_all(_text, {q}, {group})"
-    df = df.withColumn("_m", F.expr(f"if(_text rlike {q}, {every(0)}, {none})"))
+    needs = f"contains(_text, {_quoted(_HOLDS[key])}) and " if PATTERNS.get(key) == pattern and key in _HOLDS else ""
+    df = df.withColumn("_m", F.expr(f"if({needs}_text rlike {q}, {every(0)}, {none})"))
     df = df.withColumn("_gaps", F.expr(f"if(size(_m) > 0, split(_text, {q}, -1), {none})"))
-    lens = lambda a, k: _sum(f"transform(slice({a}, 1, {k}), g -> length(g))")
-    df = df.withColumn("_at", F.expr(f"transform(_m, (m, i) -> {lens('_gaps', 'i + 1')} + {lens('_m', 'i')})"))
+    upto = lambda a: F.expr(f"aggregate(transform({a}, g -> length(g)), array(0), (s, g) -> array_append(s, element_at(s, -1) + g))")
+    df = df.withColumns({"_pm": upto("_m"), "_pg": upto("_gaps")}).withColumn("_at", F.expr("transform(_m, (m, i) -> get(_pg, i + 1) + get(_pm, i))"))
     spans = []
     for k, (name, number) in enumerate(held.items()):
         # the groups left of this one in the match, each with one character behind
         start = " + ".join(["get(_at, i)", *(f"length(get({every(g)}, i)) + 1" for g in list(held.values())[:k])])
         spans.append(f"transform({every(number)}, (v, i) -> named_struct('char_start', cast({_back(start)} as int), 'char_end', cast({_back(f'{start} + length(v)')} as int), 'entity', {_quoted(name)}, 'value', v))")
     moved = f"transform(_edits, e -> named_struct('at', e.at + {_sum(f'transform(_m, (m, i) -> if(get(_at, i) < e.at, {n} - length(m), 0))')}, 'shift', e.shift))"
-    grown = _sum(f"transform(slice(_m, 1, i), g -> {n} - length(g))")
+    grown = f"{n} * i - get(_pm, i)"
     fresh = f"transform(_m, (m, i) -> named_struct('at', get(_at, i) + {grown} + {n}, 'shift', length(m) - {n}))"
     text = f"if(size(_m) > 0, regexp_replace(_text, {q}, {_quoted(new.replace('$', chr(92) + '$'))}), _text)"
     out = {"_spans": f"if(size(_m) > 0, concat(_spans, {', '.join(spans)}), _spans)", "_edits": f"if(size(_m) > 0, concat({moved}, {fresh}), _edits)", "_text": text}
-    return df.withColumns({k: F.expr(x) for k, x in out.items()}).drop("_m", "_gaps", "_at")
+    return df.withColumns({k: F.expr(x) for k, x in out.items()}).drop("_m", "_gaps", "_at", "_pm", "_pg")
 
 
 def to_line(p: Column, edits: Column) -> Column:

@@ -56,6 +56,35 @@ def test_spans_hold_their_values(spark, line):
     assert got[0] == text and sorted(e for *_, e, _ in got[1]) == sorted(want)
 
 
+LONG = 60_000
+
+
+@pytest.mark.parametrize("token", ["1" + ".1" * LONG, "/dev" + "/a" * LONG, "/proc" + "/a.b" * LONG, "/a" * LONG, "/a" * LONG + "/b.php", "a@b" + ".c" * LONG, "a" * LONG, "a@" * LONG, "/a/b.php" + "/c" * LONG + "!", "0x" + "f" * LONG, "1.2.3.4;" + "x" * LONG])
+def test_long_tokens_do_no_harm(spark, token):
+    import re
+
+    df = spark.createDataFrame([(token,)], "line string")
+    for key, rx in PATTERNS.items():
+        if not (key == "ip_address" and token.startswith("1.1")):  # thousands of matches
+            got = extract_entities(df, "line", {key: rx}).select(F.size("entities").alias("n")).first().n
+            assert (got > 0) == bool(re.search(rx, token[: 2000 if "php" not in token else None], re.ASCII)) or key == "uri" and "php" in token
+
+
+def test_flat_patterns_are_the_patterns(spark):
+    import random
+    import re
+
+    rng = random.Random(1)
+    parts = ["/", "/a/b.php", "/a/b/", "a", "b", ".", "1", "2", "dev", "proc", ".php", "-", "@", "_", "+", ":", " ", "v", "c.d", "//", "1.2", ";", "x"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").repartition(4)
+    for key, rx in PATTERNS.items():
+        want = re.compile(rx, re.ASCII)
+        got = df.select("i", F.regexp_extract_all("line", F.lit(java(rx)[0]), 0).alias("m")).collect()
+        assert all(r.m == [m.group() for m in want.finditer(lines[r.i])] for r in got), key
+        assert list(java(rx)[1]) == list(want.groupindex)
+
+
 def test_whole_matches_become_stars(spark):
     text, found = entities(spark, "a 1.2.3 b 10.0.0.1", {k: PATTERNS[k] for k in ("ip_address", "version")}, whole=True)
     assert text == "a * b *" and [f[3] for f in found] == ["version", "ip_address"]
