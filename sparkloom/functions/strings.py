@@ -55,6 +55,11 @@ def short_hash(c: Column) -> Column:
     return F.substring(F.md5(c.cast("binary")), 1, 8)
 
 
+def long_hash(c: Column) -> Column:
+    """128 bits, for ids of rows of which there may be very many."""
+    return F.md5(c.cast("binary"))
+
+
 def block_ids(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(BLOCK_ID), 1))
 

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Events of a vocabulary that is broadcast (a few MB).
+SMALL = 50_000
+
+
 def counts(rows: DataFrame, instance: str, event: str) -> DataFrame:
     """instance, event, x for each that occurs; rows: one per event."""
     return rows.groupBy(F.col(instance).alias("instance"), F.col(event).alias("event")).agg(F.count("*").cast("double").alias("x"))
@@ -37,8 +41,7 @@ class FeatureModel:
         with oov, event null counts what is not in it: distinct unseen events, or, of the fitted rows, rare ones."""
         base = long.select("instance").distinct()
         v = self.vocabulary.filter("kept")
-        grid = base.join(F.broadcast(v), how="cross") if self.normalization == "zero-mean" else long.select("instance", "event").join(v, "event")
-        x = grid.join(long, ["instance", "event"], "left").na.fill(0.0, ["x"])
+        x = self._dense(long, v) if self.normalization == "zero-mean" else long.join(v, "event")
         if self.weighting == "tf-idf":
             x = x.withColumn("x", F.col("x") * F.col("idf"))
         if self.normalization == "zero-mean":
@@ -54,6 +57,18 @@ class FeatureModel:
         return out
 
 
+    def _dense(self, long: DataFrame, v: DataFrame) -> DataFrame:
+        """A row for each instance and event, which is what the mean is taken from. Zeros are not stored or joined:
+        an instance's counts meet as one map, and the vocabulary, a row per event, is spread from there."""
+        events = F.array_sort(F.collect_list(F.struct("event", "df", "idf", "mean", "kept"))).alias("voc")
+        every = v.agg(events).withColumn("one", F.lit(1))
+        counts = long.groupBy("instance").agg(F.map_from_entries(F.collect_list(F.struct("event", "x"))).alias("held")).withColumn("one", F.lit(1))
+        small = self.vocabulary.count() <= SMALL
+        met = counts.join(F.broadcast(every) if small else every, "one")
+        out = met.select("instance", "held", F.explode("voc").alias("w")).select("instance", "w.*", F.coalesce(F.try_element_at("held", F.col("w.event")), F.lit(0.0)).alias("x"))
+        return out
+
+
 def fit(long: DataFrame, weighting: str | None = None, normalization: str | None = None, oov: bool = False, min_count: int = 1) -> FeatureModel:
     """Learns df, idf = ln(n / (df + 1e-8)) and means (over all instances, zeros included) of weighted counts. With
     oov and min_count over 1, events of fewer instances than that leave the vocabulary."""

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.strings import short_hash
 from ..schemas import ENTITY_COLLECTIONS
@@ -26,10 +27,12 @@ def params_of(parsed: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def entity_vertices(params: DataFrame, order: list[str]) -> DataFrame:
-    """collection, key, name, props of entities; of several mentions the last by order gives the properties."""
-    props = F.map_filter(F.create_map(F.lit("span"), F.concat_ws("-", "char_start", "char_end"), F.lit("token"), F.col("token_start").cast("string"), F.lit("password"), F.col("password")), lambda k, v: v.isNotNull())
-    v = params.select(_lookup(0)[F.col("entity")].alias("collection"), short_hash(F.col("value")).alias("key"), F.col("value").alias("name"), props.alias("props"), F.struct(*order, "char_start").alias("_o"))
-    return v.groupBy("collection", "key").agg(F.max_by("name", "_o").alias("name"), F.max_by("props", "_o").alias("props"))
+    """collection, key, name, props of entities; of several mentions the last by order that has a property gives it."""
+    v = params.select(_lookup(0)[F.col("entity")].alias("collection"), short_hash(F.col("value")).alias("key"), F.col("value").alias("name"), F.concat_ws("-", "char_start", "char_end").alias("span"), F.col("token_start").cast("string").alias("token"), "password", F.struct(*order, "char_start").alias("_o"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_o"))).alias(c)
+    v = v.groupBy("collection", "key").agg(*[last(c) for c in ("name", "span", "token", "password")])
+    props = F.map_filter(F.create_map(*[x for c in ("span", "token", "password") for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    return v.select("collection", "key", "name", props.alias("props"))
 
 
 def entity_edges(params: DataFrame, log_key: str) -> DataFrame:
@@ -54,10 +57,23 @@ def log_graph(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows by keys; each other column takes its last non-null value by order, new over old; maps are overlaid."""
+    """Rows by keys; each other column takes its last non-null value by order, new over old. Maps are overlaid: each
+    of their entries takes its last non-null value, so that one that the last map has not stays. Entries are counted
+    one by one with partial sums, so that a key of very many rows is gathered nowhere. Null keys are keys."""
     both = old.unionByName(new, allowMissingColumns=True)
+    maps = [f.name for f in both.schema if isinstance(f.dataType, T.MapType) and f.name not in keys]
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
-    return both.groupBy(*keys).agg(*[last(c) for c in both.columns if c not in keys and c != order], F.max(order).alias(order))
+    has = [F.max(F.col(c).isNotNull()).alias(c) for c in maps]
+    out = both.groupBy(*keys).agg(*[last(c) for c in both.columns if c not in keys and c not in maps and c != order], *has, F.max(order).alias(order))
+    for c in maps:
+        entries = both.select(*keys, F.col(order).alias("_order"), F.explode(c).alias("_k", "_v")).filter("_v is not null")
+        entries = entries.groupBy(*keys, "_k").agg(F.max_by("_v", F.struct("_order", "_v")).alias("_v"))
+        held = entries.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("_held"))  # a row's own properties
+        held = held.withColumnsRenamed({k: f"_{i}" for i, k in enumerate(keys)})
+        same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+        empty = F.when(F.col(c), F.create_map().cast(both.schema[c].dataType))
+        out = out.join(held, same, "left").withColumn(c, F.coalesce("_held", empty)).drop("_held", *[f"_{i}" for i in range(len(keys))])
+    return out.select(both.columns)
 
 
 def new_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

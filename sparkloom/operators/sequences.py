@@ -1,10 +1,11 @@
 """Event sequences by entity or session, and splits into train and test."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import block_ids
+from ..sources.readers import numbered
 
 
 def sequences(events: DataFrame, key: str, event: str, order: list[str]) -> DataFrame:
@@ -30,10 +31,11 @@ def labelled(seqs: DataFrame, labels: DataFrame, key: str, label: str, anomalous
 
 
 def split_by_class(rows: DataFrame, label: str, order: Column | str, test_ratio: float) -> DataFrame:
-    """rows with part: of each class, the first int(n * (1 - test_ratio)) by order are train, the rest test."""
-    w = Window.partitionBy(label)
-    n = F.floor(F.count("*").over(w) * (1 - test_ratio))
-    return rows.withColumn("part", F.when(F.row_number().over(w.orderBy(order)) <= n, "train").otherwise("test"))
+    """rows with part: of each class, the first int(n * (1 - test_ratio)) by order are train, the rest test. Rows are
+    numbered by ranges, so that a class is no one task."""
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.floor(F.count("*") * (1 - test_ratio)).alias("_train"))
+    out = numbered(rows, order, "_number", label).join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    return out.withColumn("part", F.when(F.col("_number") <= F.col("_train"), "train").otherwise("test")).drop("_number", "_label", "_train")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.entities import extract_entities, to_line
-from ..functions.strings import join_tokens, nascii, short_hash, strip, token_index, tokens
+from ..functions.strings import join_tokens, long_hash, nascii, short_hash, strip, token_index, tokens
 from ..operators.graph import log_graph
 from ..operators.mining import mine_exact
 from ..schemas import PARAM
@@ -40,7 +40,7 @@ def records(prepared: DataFrame, mined: DataFrame, order: str) -> DataFrame:
     kind = f"array<{PARAM.simpleString()}>"
     both = F.concat(named.cast(kind), _slot_params().cast(kind))
     keyed = F.array_sort(F.transform(both, lambda x, i: F.struct(x["char_start"].alias("a"), i.alias("i"), x.alias("x"))))
-    log_id = short_hash(F.concat_ws("|", "source_collection", "id", F.col(order).cast("string"), "content"))
+    log_id = long_hash(F.concat_ws("|", "source_collection", "id", F.col(order).cast("string"), "content"))
     return p.select(
         log_id.alias("log_id"), "line", join_tokens(tokens(F.col("content"))).alias("message"), F.col("template_then").alias("log_key"), "event_ord", short_hash(F.col("template_then")).alias("event_id"),
         "id", "source_collection", "metadata", F.transform(keyed, lambda k: k["x"]).alias("params"), "is_new", order,

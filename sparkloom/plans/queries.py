@@ -559,10 +559,10 @@ def edges_of_vertex(s, d):
 # ---- sources that other queries do not read through ----------------------------------------------------------------
 
 
-@query(f"WITH {_LINES} SELECT substr(md5('search|' || doc_id || '|0|' || line_no || '|' || line), 1, 8) AS id, 'search' AS source_collection, line FROM lines WHERE line <> ''")
+@query(f"WITH {_LINES} SELECT md5('search|' || doc_id || '|0|' || line_no || '|' || line) AS id, 'search' AS source_collection, line, 0 AS n_metadata FROM lines WHERE line <> ''")
 def search_hit_lines(s, d):
     hits = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body")).select(F.col("doc_id").alias("id"), F.array(F.struct("body")).alias("results"))
-    return readers.search_hits(hits).drop("metadata")
+    return readers.search_hits(hits).withColumn("n_metadata", F.size("metadata")).drop("metadata")
 
 
 @query("SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS action, event_type = 'error' AS rejected FROM events")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.strings import log_format, short_hash, split_lines, strip
+from ..functions.strings import log_format, long_hash, split_lines, strip
 from ..schemas import RAW_LOG
 
 NO_META = "cast(map() as map<string,string>)"
@@ -28,7 +28,7 @@ def limited(df: DataFrame, most: int = -1) -> DataFrame:
 def search_hits(hits: DataFrame, collection: str = "search", most: int = -1) -> DataFrame:
     """Raw logs from hits (id, results array<struct<body>>): the non-empty lines of every body."""
     lines = hits.select("id", F.posexplode("results").alias("r", "x")).select("id", "r", F.posexplode(split_lines(F.col("x.body"))).alias("l", "line")).filter(F.length("line") > 0)
-    key = short_hash(F.concat_ws("|", F.lit(collection), "id", "r", "l", "line"))
+    key = long_hash(F.concat_ws("|", F.lit(collection), "id", "r", "l", "line"))
     return limited(lines.select(key.alias("id"), F.lit(collection).alias("source_collection"), "line", F.expr(NO_META).alias("metadata")), most)
 
 
@@ -84,16 +84,20 @@ def format_columns(df: DataFrame, fmt: str, line: str = "line", drop: bool = Tru
     return df.withColumns({n: F.when(hit, F.regexp_extract(text, rx, i + 1)) for i, n in enumerate(names)})
 
 
-def numbered(df: DataFrame, order: str | Column, name: str = "log_id") -> DataFrame:
-    """1-based ordinals in order, without one task for all rows: rows are range-partitioned, counted, and numbered
-    from their partition's offset."""
+def numbered(df: DataFrame, order: str | Column, name: str = "log_id", by: str | None = None) -> DataFrame:
+    """1-based ordinals in order (of the rows with one value of by), without one task for all rows: rows are
+    range-partitioned, counted, and numbered from their partition's offset."""
     from ..operators.scratch import cut
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))  # a row per partition
-    return parts.join(offsets, "_p").withColumn(name, (F.row_number().over(Window.partitionBy("_p").orderBy(order)) + F.col("_o")).cast("long")).drop("_p", "_o")
+    n, by_ = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), [by] if by else []
+    parts = cut(df.repartitionByRange(n, *by_, order).withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy("_p", *by_).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by_).orderBy("_p")  # a row per partition
+    offsets = sizes.select(F.col("_p").alias("_q"), *[F.col(c).alias("_by") for c in by_], (F.sum("_n").over(before) - F.col("_n")).alias("_o"))
+    same = F.col("_p") == F.col("_q")
+    joined = parts.join(offsets, same & F.col(by).eqNullSafe(F.col("_by")) if by else same)
+    number = F.row_number().over(Window.partitionBy("_p", *by_).orderBy(order)) + F.col("_o")
+    return joined.withColumn(name, number.cast("long")).drop("_p", "_q", "_o", "_by")
 
 
 def structured_csv(spark: SparkSession, path: str) -> DataFrame:

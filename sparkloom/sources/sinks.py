@@ -1,6 +1,7 @@
 """Sinks."""
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.ml.feature import Word2VecModel
@@ -21,33 +22,75 @@ def sequence_csv(seqs: DataFrame, path: str, column: str = "events") -> None:
     seqs.withColumn(column, F.to_json(column)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def fan_out(parsed: DataFrame, folder: str) -> None:
-    """One pass over a persisted batch: parsed logs as JSON lines, new templates as text."""
+def fan_out(parsed: DataFrame, folder: str, batch: int | str | None = None) -> None:
+    """One pass over a persisted batch: parsed logs as JSON lines, new templates as text, in a folder of the batch's
+    own, which a retry of the same batch replaces. Without a batch, a new one each time."""
+    own = f"batch={uuid.uuid4().hex if batch is None else batch}"
     parsed = parsed.persist()
     try:
-        parsed.drop("is_new").write.mode("append").json(f"{folder}/parsed_logs")
-        parsed.filter("is_new").select("log_key").write.mode("append").text(f"{folder}/log_keys")
+        parsed.drop("is_new").write.mode("overwrite").json(f"{folder}/parsed_logs/{own}")
+        parsed.filter("is_new").select("log_key").write.mode("overwrite").text(f"{folder}/log_keys/{own}")
     finally:
         parsed.unpersist()
 
 
-def merge_table(new: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """Upserts a batch into a Parquet table: versions side by side, the newest named by a marker file."""
+#: Buckets of a table of merge_table: a batch rewrites those alone that its keys fall into.
+BUCKETS = 64
+
+
+def _files(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    return p, p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _listed(spark, path: str) -> list[str]:
+    p, fs = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p(path))] if fs.exists(p(path)) else []
+
+
+def _versions(spark, path: str) -> dict[int, int]:
+    """Of each bucket that has rows, the version that holds it now: the newest manifest."""
+    newest = max((int(x[1:]) for x in _listed(spark, f"{path}/manifests") if "_SUCCESS" in _listed(spark, f"{path}/manifests/{x}")), default=None)
+    return {} if newest is None else {r.bucket: r.version for r in spark.read.schema("bucket int, version int").json(f"{path}/manifests/m{newest}").collect()}
+
+
+def merge_table(new: DataFrame, path: str, keys: list[str], order: str, buckets: int = BUCKETS) -> None:
+    """Upserts a batch into a Parquet table. Rows lie in buckets by a hash of their keys; a batch reads and rewrites
+    the buckets that it touches, as a new version beside the old one, and then writes a manifest that names each
+    bucket's version. A reader follows the newest manifest, so a batch that breaks off changes nothing. One writer at
+    a time; buckets must stay the same."""
     spark = new.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    P = spark._jvm.org.apache.hadoop.fs.Path
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(P(path)) if s.getPath().getName().startswith("v") and fs.exists(P(f"{s.getPath()}/_SUCCESS"))) if fs.exists(P(path)) else []
-    merged = upsert(spark.read.parquet(f"{path}/v{versions[-1]}"), new, keys, order) if versions else upsert(new.limit(0), new, keys, order)
-    merged.write.mode("overwrite").parquet(f"{path}/v{(versions[-1] if versions else 0) + 1}")
-    for old in versions[:-1]:
-        fs.delete(P(f"{path}/v{old}"), True)
+    new = new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+    try:
+        held, touched = _versions(spark, path), [r.bucket for r in new.select("bucket").distinct().collect()]  # buckets at most
+        number = max((int(x[1:]) for d in ("manifests", "data") for x in _listed(spark, f"{path}/{d}")), default=0) + 1
+        old = _read(spark, path, {b: v for b, v in held.items() if b in touched})
+        merged = upsert(old if old is not None else new.limit(0), new, ["bucket", *keys], order)
+        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/v{number}")
+    finally:
+        new.unpersist()
+    now = held | dict.fromkeys(touched, number)
+    spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.json(f"{path}/manifests/m{number}")
+    p, fs = _files(spark, path)
+    for bucket in touched:  # the version before this one stays for those who read it now
+        for v in _listed(spark, f"{path}/data"):
+            if int(v[1:]) < held.get(bucket, 0):
+                fs.delete(p(f"{path}/data/{v}/bucket={bucket}"), True)
+
+
+def _read(spark, path: str, versions: dict[int, int]) -> DataFrame | None:
+    if not versions:
+        return None
+    out = None
+    for v in sorted(set(versions.values())):
+        names = [f"{path}/data/v{v}/bucket={b}" for b, x in sorted(versions.items()) if x == v]
+        part = spark.read.option("basePath", f"{path}/data/v{v}").parquet(*names)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_table(spark, path: str) -> DataFrame:
-    P = spark._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()[1:]) for s in fs.listStatus(P(path)) if s.getPath().getName().startswith("v") and fs.exists(P(f"{s.getPath()}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v{max(versions)}")
+    return _read(spark, path, _versions(spark, path)).drop("bucket")
 
 
 def vectors_text(model: Word2VecModel, path: str) -> None:

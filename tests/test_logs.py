@@ -183,6 +183,36 @@ def test_upsert_keeps_last_values_of_each_property(spark):
     assert {tuple(r) for r in graph.upsert(old, new, ["k"], "o").collect()} == {(1, "a", "y", 2), (2, "b", None, 1), (3, "c", None, 2)}
 
 
+def test_upsert_overlays_maps(spark):
+    kind = "k int, m map<string,string>, o int"
+    old = spark.createDataFrame([(1, {"password": "p", "x": "1"}, 1), (2, None, 1), (None, {"a": "b"}, 1), (4, {}, 1)], kind)
+    new = spark.createDataFrame([(1, {"x": "2", "z": None}, 2), (1, {"y": "3"}, 3), (2, {"q": "r"}, 2), (3, None, 2), (None, {"c": "d"}, 2)], kind)
+    got = {r.k: (r.m, r.o) for r in graph.upsert(old, new, ["k"], "o").collect()}
+    assert got == {1: ({"password": "p", "x": "2", "y": "3"}, 3), 2: ({"q": "r"}, 2), 3: (None, 2), None: ({"a": "b", "c": "d"}, 2), 4: ({}, 1)}
+
+
+def test_merged_tables_rewrite_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda ids, v, o: spark.createDataFrame([(i, v, {v: str(i)}, o) for i in ids], "k int, v string, m map<string,string>, o int")
+    sinks.merge_table(rows(range(40), "a", 1), path, ["k"], "o", 8)
+    before = sinks._versions(spark, path)
+    sinks.merge_table(rows([3, 77], "b", 2), path, ["k"], "o", 8)
+    after = sinks._versions(spark, path)
+    assert sum(after[b] != before.get(b) for b in after) <= 2
+    got = {r.k: (r.v, r.m) for r in sinks.read_table(spark, path).collect()}
+    assert got[3] == ("b", {"a": "3", "b": "3"}) and got[77] == ("b", {"b": "77"}) and got[4] == ("a", {"a": "4"}) and len(got) == 41
+    for k in range(3):
+        sinks.merge_table(rows([3], f"c{k}", 3 + k), path, ["k"], "o", 8)
+    assert sinks.read_table(spark, path).count() == 41 and len(sinks.read_table(spark, path).filter("k = 3").first().m) == 5
+
+
+def test_a_retried_batch_adds_nothing(spark, tmp_path):
+    p = parse.parse(raw(spark), "seq", "<Process>: <content>")
+    for _ in range(2):
+        sinks.fan_out(p, str(tmp_path), 7)
+    assert spark.read.json(f"{tmp_path}/parsed_logs").count() == 5 and spark.read.text(f"{tmp_path}/log_keys").count() == 3
+
+
 def test_features_by_hand(spark):
     rows = [(0, "A"), (0, "B"), (0, "A"), (1, "B"), (2, "B"), (2, "C")]
     long = features.counts(spark.createDataFrame(rows, "s int, e string"), "s", "e")
@@ -237,12 +267,42 @@ def test_mining_operators_agree(spark):
     assert {r.template for r in exact.select("template").distinct().collect()} == {"user * did * at host *", "system is going down now"}
     templates = mining.shard_templates(t, "tokens")
     a = mining.assign(t, "tokens", templates).select("seq", F.array_join("template", " ").alias("t"))
-    b = mining._assign_by_join(t, "tokens", templates).select("seq", F.array_join("template", " ").alias("t"))
-    assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()} == {(r.seq, r.template) for r in exact.collect()}
+    assert {tuple(r) for r in a.collect()} == {(r.seq, r.template) for r in exact.collect()}
     counts = mining.template_counts(a, F.col("t")).collect()
     assert sorted(r["count"] for r in counts) == [5, 120]
 
 
+@pytest.mark.parametrize("common", [1000, 2, 0])
+def test_assign_finds_the_best_of_all(spark, monkeypatch, common):
+    import random
+
+    from sparkloom.operators.kernel import Template
+
+    monkeypatch.setattr(mining, "COMMON", common)
+    rng = random.Random(common)
+    word = lambda: rng.choice(["user"] * 6 + list("abcdefgh") + ["*"])
+    templates = [[word() for _ in range(rng.randrange(1, 8))] for _ in range(60)]
+    lines = [[rng.choice(["user"] * 4 + list("abcdefghxyz")) for _ in range(rng.randrange(1, 9))] for _ in range(200)] + [None]
+    t = spark.createDataFrame(list(enumerate(templates)), "event_ord int, template array<string>")
+    got = {r.i: (r.event_ord, r.template) for r in mining.assign(spark.createDataFrame(list(enumerate(lines)), "i int, tokens array<string>"), "tokens", t).collect()}
+    for i, line in enumerate(lines):
+        best, top = (None, None), 0
+        for k, x in enumerate(templates if line else []):
+            n = Template(0, x, {j for j, y in enumerate(x) if y == "*"}).score(line)
+            if len(line) / 2 <= len(x) <= 2 * len(line) and n > top and 2 * n >= len(line):
+                best, top = (k, x), n
+        assert got[i] == best, line
+
+
+def test_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mining, "SHARD", 3)
+    monkeypatch.setattr(mining, "MERGED", 2)
+    lines = [f"user {i % 9} did {a} at host {i % 4}" for i in range(40) for a in ("login", "logout")] + ["system is going down now"] * 5
+    t = spark.createDataFrame([(x.split(),) for x in lines], "tokens array<string>")
+    one, two = (sorted(map(tuple, mining.mine_shards(t.repartition(n), "tokens").select(F.array_join("tokens", " "), F.array_join("template", " ")).collect())) for n in (1, 7))
+    assert one == two and {x for _, x in one} == {"user * did * at host *", "system is going down now"}
+
+
 def test_walks(spark):
     e = graph.undirected(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "src string, dst string"))
     edges = {(r.src, r.dst) for r in e.collect()}
