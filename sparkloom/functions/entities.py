@@ -37,7 +37,7 @@ PATTERNS = {
 _RUN = r"(?:\G|(?<![a-zA-Z0-9_.+-]))"
 #: First slash of a path (a later one starts nothing that the one before it would not, unless that one is barred), and
 #: the segments up to its name.
-_SLASH = r"(?:\G|(?<!/(?!dev|proc)[\w.]{1,255}))"
+_SLASH = r"(?=/)(?:\G|(?<!/(?!dev|proc)[\w.]{1,255}))"
 _PATH = r"(?=[\w.])(?:(?!//)[\w./]){2,}(?<=[\w.]/)"
 #: Patterns by key that match the same in Java's engine without recursion or a new scan from each place of a run: it
 #: recurses once for each round of a group of varying length, and overflows its stack on a token of some kilobytes.

@@ -52,18 +52,17 @@ def walks(edges: DataFrame, n_walks: int = 10, length: int = 90, p: float = 1.0,
     w = rounds.select("round", "node", F.coalesce("_l", F.lit(length)).alias("most"), F.array(F.col("node").cast("string")).alias("walk"), F.lit(None).cast(edges.schema["src"].dataType).alias("previous"), F.col("node").alias("current"))
     longest = length if overrides is None else max(length, overrides.agg(F.max("walk_length")).first()[0] or 0)
     out = edges.select(F.col("src").alias("current"), "dst", "weight")
-    done = None
     for step in range(1, longest):
         moving = w.filter((F.size("walk") < F.col("most")) & (F.size("walk") == step))
         options = moving.select("round", "node", "previous", "current").join(out, "current")
         options = biased(options, edges, p, q, overrides)
-        u = (F.pmod(F.xxhash64(F.lit(seed), "round", "node", F.lit(step), "dst"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+        drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("node").cast("string"), F.lit(str(step)), F.col("dst").cast("string")).cast("binary"))
+        u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 1)
         chosen = options.groupBy("round", "node").agg(F.min_by("dst", -F.log(u) / F.col("weight")).alias("to"))
         now = w.join(chosen, ["round", "node"], "left")
         w = now.select("round", "node", "most", F.when(F.col("to").isNotNull(), F.concat("walk", F.array(F.col("to").cast("string")))).otherwise(F.col("walk")).alias("walk"), F.when(F.col("to").isNotNull(), F.col("current")).otherwise(F.col("previous")).alias("previous"), F.coalesce("to", "current").alias("current"))
         if step % every == 0:
             w = cut(w)
-    del done
     return w.select("round", "node", "walk")
 
 

@@ -1,15 +1,17 @@
 """Queries over the test tables, one for each operator, and their SQL where SQL can express them."""
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import strings as S
-from ..functions.entities import PATTERNS, extract_entities, java
+from ..functions.entities import PATTERNS, extract_entities, java, numbered
 from ..operators import features, graph, invariants, links, metrics, mining, rules, sequences, trees, urls, walks
 from ..operators.scratch import scratch_dir
 from ..sources import readers
@@ -80,17 +82,79 @@ def _entity(name: str) -> Callable:
     return run
 
 
-for _n in ("ip_address", "email", "version", "uuid", "memory_k", "disk_mb", "disk_gb", "clock_speed"):
-    _rx = java(PATTERNS[_n])[0].replace("'", "''")
+for _n in ("ip_address", "email", "version"):
+    _rx = numbered(PATTERNS[_n]).replace("'", "''")
     Q[f"entities_{_n}"] = _entity(_n)
     SQL[f"entities_{_n}"] = f"WITH {_LINES}, found AS (SELECT doc_id, line_no, regexp_extract_all(line, '{_rx}', 1) AS v FROM plain) SELECT doc_id, line_no, CAST(i - 1 AS INTEGER) AS pos, '{_n}' AS entity, v[i] AS value FROM found, unnest(range(1, len(v) + 1)) AS u(i)"
 
+#: A line that holds a value of each pattern: its parts, of which those in braces are numbers of the event.
+_HOLDS_ALL = (
+    "see http://h{e}.example.com/p?q={u} mail u{e}@x{u}.org:10.0.{u}.7:pw{e} or v{e}@y.org:secret{e} or w{e}@z.org open /dev/sd{e} and /proc/{e}/maps from 10.1.{u}.9;root{e};toor{e} "
+    "or 10.2.{u}.8:80 at 0xdead{e}-{u} id 123e4567-e89b-12d3-a456-{d} uses {u}K and {e}MB plus {u}gb on {u}.4GHz file /usr/lib{e}/x.so page /var/www{e}/a.php ver v{u}.2.{e}-rc1 count {e} done"
+)
+_PARTS = {"e": "event_id", "u": "user_id", "d": "lpad(CAST(event_id AS STRING), 12, '0')"}
 
-@query(f"WITH {_LINES}, found AS (SELECT doc_id, line_no, line, regexp_extract_all(line, '{java(PATTERNS['version'])[0]}', 0) AS v FROM plain) SELECT doc_id, line_no, regexp_replace(line, '{java(PATTERNS['version'])[0]}', '<VERSION>', 'g') AS rewritten, CAST(strpos(line, v[1]) - 1 AS INTEGER) AS first_start FROM found WHERE len(v) > 0 AND strpos(line, v[1]) = length(regexp_extract(line, '^(.*?){java(PATTERNS['version'])[0]}', 1)) + 1")
+
+def _spoken(parts: dict[str, str], kind: str) -> str:
+    """SQL of the line above."""
+    words = re.split(r"(\{\w\})", _HOLDS_ALL)
+    return " || ".join(f"CAST({parts[w[1]]} AS {kind})" if w.startswith("{") else f"'{w}'" for w in words if w)
+
+
+_FULL = f"full_lines AS (SELECT event_id, {_spoken(_PARTS | {'d': _PARTS['d'].replace('STRING', 'VARCHAR')}, 'VARCHAR')} AS line FROM events)"
+#: For the patterns that look around, ones for SQL that do not, and what the line is rewritten to for them.
+_AROUND = {
+    "uri": (r"(/(?:[\w.]+/)+\w+\.php)", "line"),
+    "file": (r"(/(?:[\w.]+/)+\w+(?:\.\w+)?)", r"regexp_replace(regexp_replace(line, '/(dev|proc)', ' ', 'g'), '/\w+\.php', '/', 'g')"),
+    "number": (r"\s(\d+)\s", "line"),
+}
+
+
+def full_lines(s: SparkSession, d: str) -> DataFrame:
+    return readers.spread(table(s, d, "events")).select("event_id", F.expr(_spoken(_PARTS, "STRING")).alias("line"))
+
+
+def _full_entity(name: str) -> Callable:
+    def run(s, d):
+        e = extract_entities(full_lines(s, d), "line", {name: PATTERNS[name]})
+        return e.select("event_id", F.posexplode("entities").alias("pos", "e")).select("event_id", "pos", "e.entity", "e.value")
+
+    return run
+
+
+for _n in PATTERNS:
+    _rx, _line = _AROUND.get(_n, (numbered(PATTERNS[_n]), "line"))
+    _groups = java(PATTERNS[_n])[1]
+    _each = " UNION ALL ".join(f"SELECT event_id, CAST((i - 1) * {len(_groups)} + {k} AS INTEGER) AS pos, '{g}' AS entity, v{k}[i] AS value FROM found, unnest(range(1, len(v{k}) + 1)) AS u(i)" for k, g in enumerate(_groups))
+    _lists = ", ".join(f"regexp_extract_all({_line}, '{_rx}', {number}) AS v{k}" for k, number in enumerate(_groups.values()))
+    Q[f"full_{_n}"] = _full_entity(_n)
+    SQL[f"full_{_n}"] = f"WITH {_FULL}, found AS (SELECT event_id, {_lists} FROM full_lines) {_each}"
+
+
+def _chain_sql() -> str:
+    """All patterns in turn, each on what the ones before have rewritten."""
+    steps, now = [_FULL, "s0 AS (SELECT event_id, line AS t, CAST([] AS VARCHAR[]) AS found FROM full_lines)"], 0
+    for name, pattern in PATTERNS.items():
+        rx, groups = _AROUND.get(name, (numbered(pattern),))[0], java(pattern)[1]
+        new = (";" if name == "ip_address_user_password" else ":").join(f"<{g.upper()}>" for g in groups)
+        values = " || ".join(f"list_transform(regexp_extract_all(t, '{rx}', {k}), lambda v: '{g}=' || v)" for g, k in groups.items())
+        rewritten = f" {new} " if name == "number" else new
+        steps.append(f"s{now + 1} AS (SELECT event_id, regexp_replace(t, '{rx}', '{rewritten}', 'g') AS t, found || {values} AS found FROM s{now})")
+        now += 1
+    return f"WITH {', '.join(steps)} SELECT event_id, t AS rewritten, array_to_string(list_sort(found), ' ') AS found, true AS spans_hold FROM s{now}"
+
+
+@query(_chain_sql())
+def entity_chain(s, d):
+    e = extract_entities(full_lines(s, d), "line")
+    spans = F.forall("entities", lambda x: F.substring("line", x["char_start"] + 1, x["char_end"] - x["char_start"]) == x["value"])
+    return e.select("event_id", "rewritten", F.array_join(F.array_sort(F.transform("entities", lambda x: F.concat(x["entity"], F.lit("="), x["value"]))), " ").alias("found"), spans.alias("spans_hold"))
+
+
+@query(f"WITH {_LINES}, found AS (SELECT doc_id, line_no, line, regexp_extract_all(line, '{numbered(PATTERNS['version'])}', 0) AS v FROM plain) SELECT doc_id, line_no, regexp_replace(line, '{numbered(PATTERNS['version'])}', '<VERSION>', 'g') AS rewritten, CAST(length(regexp_extract(line, '^(.*?){numbered(PATTERNS['version'])}', 1)) AS INTEGER) AS first_start FROM found WHERE len(v) > 0")
 def entity_rewriting(s, d):
     e = extract_entities(plain(s, d), "line", {"version": PATTERNS["version"]}).filter(F.size("entities") > 0)
-    first = F.get("entities", F.lit(0))
-    return e.filter(F.expr("locate(get(entities, 0).value, line) = get(entities, 0).char_start + 1")).select("doc_id", "line_no", "rewritten", first["char_start"].alias("first_start"))
+    return e.select("doc_id", "line_no", "rewritten", F.get("entities", F.lit(0))["char_start"].alias("first_start"))
 
 
 @query()
@@ -132,7 +196,7 @@ def crawl_documents(s, d):
 
 # ---- graph --------------------------------------------------------------------------------------------------------
 
-_MAILS = f"{_LINES}, found AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{java(PATTERNS['email'])[0]}', 1)) AS v, 'email' AS entity FROM plain UNION ALL SELECT doc_id, line_no, unnest(regexp_extract_all(regexp_replace(line, '{java(PATTERNS['email'])[0]}', '<EMAIL>', 'g'), '{java(PATTERNS['ip_address'])[0]}', 1)), 'ip_address' FROM plain)"
+_MAILS = f"{_LINES}, found AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{numbered(PATTERNS['email'])}', 1)) AS v, 'email' AS entity FROM plain UNION ALL SELECT doc_id, line_no, unnest(regexp_extract_all(regexp_replace(line, '{numbered(PATTERNS['email'])}', '<EMAIL>', 'g'), '{numbered(PATTERNS['ip_address'])}', 1)), 'ip_address' FROM plain)"
 
 
 def _two_entities(s, d) -> DataFrame:
@@ -162,6 +226,22 @@ def vertices_upsert(s, d):
     return graph.upsert(e.filter(half), e.filter(~half), ["user_id"], "event_id")
 
 
+@query("WITH p AS (SELECT user_id, event_type AS k, arg_max(value, event_id) FILTER (event_id % 4 <> 0) AS v, max(event_id) AS o FROM events GROUP BY ALL) SELECT user_id, coalesce(string_agg(k || '=' || CAST(v AS VARCHAR), ' ' ORDER BY k) FILTER (v IS NOT NULL), '') AS props, max(o) AS event_id FROM p GROUP BY user_id")
+def vertices_props(s, d):
+    e = table(s, d, "events").select("user_id", "event_id", F.create_map("event_type", F.when(F.col("event_id") % 4 != 0, F.col("value").cast("string"))).alias("props"))
+    half = F.col("event_id") % 2 == 0
+    out = graph.upsert(e.filter(half), e.filter(~half), ["user_id"], "event_id")
+    return out.withColumn("props", F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda x: F.concat_ws("=", x["key"], x["value"])), " "))
+
+
+@query("SELECT 'n' || lpad(CAST(i AS VARCHAR), 3, '0') AS node, 'n000' AS community FROM range(0, 62) AS t(i) UNION ALL SELECT 'x', 'x' UNION ALL SELECT 'y', 'x'")
+def communities_of_a_path(s, d):
+    """A path of 62 nodes and one edge beside it."""
+    node = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("string"), 3, "0"))
+    path = s.range(61).select(node(F.col("id")).alias("src"), node(F.col("id") + 1).alias("dst"))
+    return graph.communities(graph.undirected(path.unionByName(s.createDataFrame([("y", "x")], "src string, dst string"))))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def new_vertices_anti(s, d):
     return graph.new_rows(table(s, d, "labels"), table(s, d, "documents").select("doc_id", "lang"), ["doc_id"])
@@ -278,11 +358,11 @@ def invariant_predict(s, d):
     return m.predict(features.wide(days(s, d), TYPES)).select("instance", "anomaly")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('never', '1'), ('click,view,opened', '1,1,-1')) AS t(columns, theta)")
 def invariants_mined(s, d):
     w = features.wide(days(s, d), TYPES).withColumn("opened", F.col("click") + F.col("view")).withColumn("never", F.lit(0.0))
     m = invariants.InvariantsMiner().fit(w, ["click", "view", "opened", "never"])
-    return s.createDataFrame([(list(c), t) for c, t in m.invariants.items()], "columns array<string>, theta array<int>")
+    return s.createDataFrame([(",".join(c), ",".join(map(str, t))) for c, t in m.invariants.items()], "columns string, theta string")
 
 
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fp, count(*) FILTER (quality <> 1 AND toxic = 1) AS fn, coalesce(count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (quality = 1), 0), 0)::DOUBLE AS precision, coalesce(count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0), 0)::DOUBLE AS recall, coalesce(2 * count(*) FILTER (quality = 1 AND toxic = 1) / nullif(2 * count(*) FILTER (quality = 1 AND toxic = 1) + count(*) FILTER (quality = 1 AND toxic <> 1) + count(*) FILTER (quality <> 1 AND toxic = 1), 0), 0)::DOUBLE AS f1 FROM labels")
@@ -290,8 +370,9 @@ def prf1(s, d):
     return metrics.prf1(table(s, d, "labels"), "quality", "toxic")
 
 
-@query()
+@query(f"WITH {_DAYS}, w AS (SELECT instance, CAST(bool_or(event = 'error') AS INTEGER) AS label FROM cnt GROUP BY instance), t AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY instance) > floor(count(*) OVER (PARTITION BY label) * (1 - 0.3)) AS held FROM w) SELECT count(*) FILTER (held AND label = 1) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1 FROM t")
 def decision_tree(s, d):
+    """The label can be read off one column, so the tree must make no mistake."""
     w = features.wide(days(s, d), TYPES).withColumn("label", (F.col("error") > 0).cast("int"))
     parts = sequences.split_by_class(w, "label", "instance", 0.3)
     tree = trees.DecisionTree(max_depth=3).fit(parts.filter("part = 'train'"), TYPES)
@@ -301,30 +382,36 @@ def decision_tree(s, d):
 # ---- mining -------------------------------------------------------------------------------------------------------
 
 
+#: Lines of four shapes that have less than half of their words in common, so that each is one template.
+_SHAPES = "CASE event_type WHEN 'error' THEN 'connection from host ' || user_id || ' lost' WHEN 'purchase' THEN 'paid ' || {value} || ' to account ' || user_id || ' with thanks' WHEN 'signup' THEN 'new member ' || user_id ELSE 'user ' || user_id || ' did ' || event_type || ' for ' || {value} || ' in usual mode' END"
+_STARS = "CASE event_type WHEN 'error' THEN 'connection from host * lost' WHEN 'purchase' THEN 'paid * to account * with thanks' WHEN 'signup' THEN 'new member *' ELSE 'user * did * for * in usual mode' END"
+_SHAPED = f"l AS (SELECT event_id, {_SHAPES.format(value="printf('%.2f', value)")} AS line, {_STARS} AS template FROM events)"
+
+
 def event_lines(s, d) -> DataFrame:
-    e = table(s, d, "events").select("event_id", F.format_string("user %d did %s for %.2f in %s mode", "user_id", "event_type", "value", F.when(F.col("event_type") == "error", "safe").otherwise("usual")).alias("line"))
+    e = table(s, d, "events").select("event_id", F.expr(_SHAPES.format(value="format_string('%.2f', value)")).alias("line"))
     return e.withColumn("tokens", S.tokens(F.col("line")))
 
 
-@query()
+@query(f"WITH {_SHAPED}, n AS (SELECT line, template, count(*) AS n FROM l GROUP BY line, template), d AS (SELECT template, row_number() OVER (ORDER BY n DESC, line) AS r FROM n), t AS (SELECT template, CAST(row_number() OVER (ORDER BY min(r)) - 1 AS INTEGER) AS event_ord FROM d GROUP BY template) SELECT event_id, event_ord, template FROM l JOIN t USING (template)")
 def template_assign(s, d):
-    e = event_lines(s, d)
-    out = mining.assign(e, "tokens", mining.shard_templates(e, "tokens"))
-    return out.select("event_id", "event_ord", F.array_join("template", " ").alias("template"))
+    return mining.mine_shards(event_lines(s, d), "tokens").select("event_id", "event_ord", F.array_join("template", " ").alias("template"))
 
 
-@query()
+@query(f"WITH {_SHAPED} SELECT substr(md5(template), 1, 8) AS event_id, template, count(*) AS count FROM l GROUP BY template")
 def template_counts(s, d):
-    e = event_lines(s, d)
-    return mining.template_counts(mining.assign(e, "tokens", mining.shard_templates(e, "tokens")), F.array_join("template", " "))
+    return mining.template_counts(mining.mine_shards(event_lines(s, d), "tokens"), F.array_join("template", " "))
 
 
-@query()
+_MINED = f"WITH {_SHAPED}, t AS (SELECT template, min(event_id) AS first, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INTEGER) AS event_ord FROM l GROUP BY template) SELECT event_id, event_ord, template, event_id = first AS is_new FROM l JOIN t USING (template)"
+
+
+@query(_MINED)
 def template_mine_exact(s, d):
     return mining.mine_exact(event_lines(s, d), "event_id", "tokens").select("event_id", "event_ord", "template", "is_new")
 
 
-@query()
+@query(_MINED)
 def template_mine_batch(s, d):
     e = event_lines(s, d).withColumn("tokens", S.word_tokens(F.col("line")))
     return mining.mine_exact(e, "event_id", "tokens", stream=False).select("event_id", "event_ord", "template", "is_new")
@@ -337,11 +424,15 @@ def template_params(s, d):
     return mining.with_params(x, "t", "tokens").select("event_id", "parameters")
 
 
-@query()
+_NEXT = "SELECT event_id, list_transform(['user', CAST(user_id AS VARCHAR), 'did', event_type, 'k', CAST(event_id % 3 AS VARCHAR) || 'x'], lambda x: x) AS t FROM events"
+
+
+@query(f"WITH l AS ({_NEXT}) SELECT a.event_id, array_to_string(list_filter(a.t, lambda x, i: x = b.t[i]), ' ') AS common FROM l a JOIN l b ON b.event_id = a.event_id + 1")
 def lcs_tokens(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.split("text", " ").alias("t"))
-    n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
-    return b.join(n, "item_id").select("item_id", F.array_join(A.longest_common_tokens("t", "u"), " ").alias("common"))
+    """Of lines whose words at different places differ, so that what they have in common stands at the same places."""
+    e = table(s, d, "events").select("event_id", F.array(F.lit("user"), F.col("user_id").cast("string"), F.lit("did"), "event_type", F.lit("k"), F.concat(F.col("event_id") % 3, F.lit("x"))).alias("t"))
+    n = e.select((F.col("event_id") - 1).alias("event_id"), F.col("t").alias("u"))
+    return e.join(n, "event_id").select("event_id", F.array_join(A.longest_common_tokens("t", "u"), " ").alias("common"))
 
 
 @query("SELECT a.item_id, len(list_intersect(list_distinct(string_split(a.text, ' ')), list_distinct(string_split(b.text, ' ')))) AS overlap FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
@@ -388,7 +479,17 @@ def first_probs(s, d):
     return walks.first_probabilities(supply(s, d)).withColumn("probability", F.round("probability", 6))
 
 
-@query()
+_WALK = f"""WITH RECURSIVE {_EDGES}, walk AS (
+  SELECT r AS round, src AS node, 1 AS step, CAST(NULL AS VARCHAR) AS previous, src AS current, src AS walk FROM (SELECT DISTINCT src FROM both_ways), range(0, 2) AS t(r)
+  UNION ALL
+  SELECT round, node, step + 1, current, arg_min(dst, -ln(u) / w), walk || ' ' || arg_min(dst, -ln(u) / w) FROM (
+    SELECT k.*, b.dst, (CAST('0x' || substr(md5('3|' || round || '|' || node || '|' || step || '|' || b.dst), 1, 13) AS BIGINT) + 1) / 4503599627370497.0 AS u,
+      CASE WHEN b.dst = previous THEN b.weight / 0.5 WHEN e.src IS NOT NULL THEN b.weight ELSE b.weight / 2.0 END AS w
+    FROM walk k JOIN both_ways b ON b.src = k.current LEFT JOIN both_ways e ON e.src = k.previous AND e.dst = b.dst WHERE step < 5) GROUP BY round, node, step, previous, current, walk
+) SELECT CAST(round AS INTEGER) AS round, node, walk FROM walk WHERE step = 5"""
+
+
+@query(_WALK)
 def random_walks(s, d):
     return walks.walks(supply(s, d), n_walks=2, length=5, p=0.5, q=2.0, seed=3).withColumn("walk", F.array_join("walk", " "))
 
@@ -397,7 +498,7 @@ def random_walks(s, d):
 def node_embeddings(s, d):
     w = walks.walks(supply(s, d), n_walks=2, length=5, seed=3)
     model = walks.embed(w, dims=16, window=5)
-    return model.getVectors().select("word")
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 # ---- URLs ---------------------------------------------------------------------------------------------------------
@@ -591,14 +692,32 @@ def _raw(s, d) -> DataFrame:
     return e.select(F.col("event_id").cast("string").alias("id"), F.lit("events").alias("source_collection"), F.col("line"), F.expr(readers.NO_META).alias("metadata"), F.col("event_id").alias("seq"))
 
 
-@query()
+def _param(start: str, value: str, token: int, entity: str, before: str = "", after: str = "") -> str:
+    """SQL of a parameter as JSON; start and value are SQL."""
+    beside = "".join(f',"{k}":"{v}"' for k, v in (("prev_token", before), ("next_token", after)) if v)
+    return f"""'{{"char_start":' || ({start}) || ',"char_end":' || ({start} + length({value})) || ',"token_start":{token},"token_end":{token + 1},"entity":"{entity}","value":"' || {value} || '"{beside}}}'"""
+
+
+_N, _V = "CAST(user_id AS VARCHAR)", "printf('%.2f', value)"
+_PARSED = f"""WITH r AS (SELECT *, {_SHAPES.format(value=_V)} AS line, CASE WHEN event_type IN ('click', 'view') THEN 'user' ELSE event_type END AS shape FROM events),
+f AS (SELECT shape, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INTEGER) AS event_ord FROM r GROUP BY shape),
+w AS (SELECT *, min(event_type) OVER (PARTITION BY shape ORDER BY event_id) <> max(event_type) OVER (PARTITION BY shape ORDER BY event_id) AS types, min(user_id) OVER (PARTITION BY shape ORDER BY event_id) <> max(user_id) OVER (PARTITION BY shape ORDER BY event_id) AS users FROM r JOIN f USING (shape)),
+k AS (SELECT *, CASE shape WHEN 'error' THEN 'connection from host <NUMBER> lost' WHEN 'purchase' THEN 'paid <VERSION> to account <NUMBER> with thanks' WHEN 'signup' THEN 'new member ' || CASE WHEN users THEN '*' ELSE {_N} END ELSE 'user <NUMBER> did ' || CASE WHEN types THEN '*' ELSE event_type END || ' for <VERSION> in usual mode' END AS log_key FROM w)
+SELECT md5('events|' || event_id || '|' || event_id || '|' || line) AS log_id, line AS message, log_key, event_ord, substr(md5(log_key), 1, 8) AS event_id, '[' || CASE shape
+  WHEN 'error' THEN {_param("21", _N, 3, "number")}
+  WHEN 'purchase' THEN {_param("5", _V, 1, "version")} || ',' || {_param(f"17 + length({_V})", _N, 4, "number")}
+  WHEN 'signup' THEN CASE WHEN users THEN {_param("11", _N, 2, "unnamed", "member")} ELSE '' END
+  ELSE {_param("5", _N, 1, "number")} || CASE WHEN types THEN ',' || {_param(f"10 + length({_N})", "event_type", 3, "unnamed", "did", "for")} ELSE '' END || ',' || {_param(f"15 + length({_N}) + length(event_type)", _V, 5, "version")} END || ']' AS params FROM k"""
+
+
+@query(_PARSED)
 def parsed_logs(s, d):
     return parse.parse(_raw(s, d), "seq").select("log_id", "message", "log_key", "event_ord", "event_id", F.to_json("params").alias("params"))
 
 
-@query()
+@query("SELECT event_id, 'user ' || CASE WHEN min(user_id) OVER w = max(user_id) OVER w THEN CAST(user_id AS VARCHAR) ELSE '*' END || ' did ' || CASE WHEN min(event_type) OVER w = max(event_type) OVER w THEN event_type ELSE '*' END AS template_then, 0 AS event_ord, event_id = min(event_id) OVER w AS is_new FROM events WINDOW w AS (ORDER BY event_id)")
 def stream_templates(s, d):
-    """Mining as a stream over a table's files; the sink is a table of the shared folder or a temporary one."""
+    """Mining as a stream over a table's files; the sink is a table of the shared folder."""
     e = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     lines_ = e.select("event_id", F.concat_ws(" ", F.lit("user"), "user_id", F.lit("did"), "event_type").alias("line")).withColumn("tokens", S.tokens(F.col("line")))
     mined = streams.mine_stream(lines_, "event_id", "tokens")
