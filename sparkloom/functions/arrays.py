@@ -27,6 +27,20 @@ def fits(template: Column, toks: Column) -> Column:
     return F.forall(template, lambda t: (t == "*") | F.array_contains(toks, t))
 
 
+def is_empty(c: Column) -> Column:
+    return F.size(c) == 0
+
+
+def not_empty(c: Column) -> Column:
+    return F.size(c) > 0
+
+
+def overlay(a: Column, b: Column) -> Column:
+    """Map a with the entries of map b that are not null over it."""
+    new = F.map_filter(b, lambda k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
 def wildcards(template: Column) -> Column:
     """0-based positions of '*'."""
     return F.filter(F.transform(template, lambda t, i: F.when(t == "*", i).otherwise(-1)), lambda i: i >= 0)

@@ -1,6 +1,7 @@
 """Entity extraction with rewriting, in column expressions.
 
-The patterns run in order, each on the text that the ones before have rewritten. A list of edits maps offsets in that
+Steps are SQL text, which the JVM parses at once; as Column objects, 18 of them take a thousand round trips. The
+patterns run in order, each on the text that the ones before have rewritten. A list of edits maps offsets in that
 text back to the line as it came: an offset p of the rewritten text is p plus the lengths that the edits before it
 have taken away.
 """
@@ -11,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .strings import quoted
+
 #: The entity patterns; their order is part of their meaning.
 PATTERNS = {
     "uri": r"(?P<uri>/(?!(dev|proc))([\w\.]+/)+\w+\.php)",
@@ -75,12 +78,6 @@ def numbered(pattern: str) -> str:
     return re.sub(r"\(\?P<\w+>", "(", pattern)
 
 
-def _quoted(text: str) -> str:
-    """A SQL string literal. Steps are SQL text, which the JVM parses at once; as Column objects, 18 of them take a
-    thousand round trips."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _sum(a: str) -> str:
     return f"aggregate({a}, 0, (s, t) -> s + t)"
 
@@ -94,9 +91,9 @@ def _step(df: DataFrame, key: str, pattern: str, whole: bool) -> DataFrame:
     rx, groups = java(pattern)
     held = {key: 0} if whole else groups
     new = "*" if whole else (";" if key == "ip_address_user_password" else ":").join(f"<{g.upper()}>" for g in held)
-    q, none, n = _quoted(rx), "cast(array() as array<string>)", len(new)
+    q, none, n = quoted(rx), "cast(array() as array<string>)", len(new)
     every = lambda group: f"regexp_extract_all(_text, {q}, {group})"
-    needs = f"contains(_text, {_quoted(_HOLDS[key])}) and " if PATTERNS.get(key) == pattern and key in _HOLDS else ""
+    needs = f"contains(_text, {quoted(_HOLDS[key])}) and " if PATTERNS.get(key) == pattern and key in _HOLDS else ""
     df = df.withColumn("_m", F.expr(f"if({needs}_text rlike {q}, {every(0)}, {none})"))
     df = df.withColumn("_gaps", F.expr(f"if(size(_m) > 0, split(_text, {q}, -1), {none})"))
     upto = lambda a: F.expr(f"aggregate(transform({a}, g -> length(g)), array(0), (s, g) -> array_append(s, element_at(s, -1) + g))")
@@ -105,11 +102,11 @@ def _step(df: DataFrame, key: str, pattern: str, whole: bool) -> DataFrame:
     for k, (name, number) in enumerate(held.items()):
         # the groups left of this one in the match, each with one character behind
         start = " + ".join(["get(_at, i)", *(f"length(get({every(g)}, i)) + 1" for g in list(held.values())[:k])])
-        spans.append(f"transform({every(number)}, (v, i) -> named_struct('char_start', cast({_back(start)} as int), 'char_end', cast({_back(f'{start} + length(v)')} as int), 'entity', {_quoted(name)}, 'value', v))")
+        spans.append(f"transform({every(number)}, (v, i) -> named_struct('char_start', cast({_back(start)} as int), 'char_end', cast({_back(f'{start} + length(v)')} as int), 'entity', {quoted(name)}, 'value', v))")
     moved = f"transform(_edits, e -> named_struct('at', e.at + {_sum(f'transform(_m, (m, i) -> if(get(_at, i) < e.at, {n} - length(m), 0))')}, 'shift', e.shift))"
     grown = f"{n} * i - get(_pm, i)"
     fresh = f"transform(_m, (m, i) -> named_struct('at', get(_at, i) + {grown} + {n}, 'shift', length(m) - {n}))"
-    text = f"if(size(_m) > 0, regexp_replace(_text, {q}, {_quoted(new.replace('$', chr(92) + '$'))}), _text)"
+    text = f"if(size(_m) > 0, regexp_replace(_text, {q}, {quoted(new.replace('$', chr(92) + '$'))}), _text)"
     out = {"_spans": f"if(size(_m) > 0, concat(_spans, {', '.join(spans)}), _spans)", "_edits": f"if(size(_m) > 0, concat({moved}, {fresh}), _edits)", "_text": text}
     return df.withColumns({k: F.expr(x) for k, x in out.items()}).drop("_m", "_gaps", "_at", "_pm", "_pg")
 
@@ -126,10 +123,10 @@ def extract_entities(df: DataFrame, column: str, patterns: dict[str, str] | None
     for key, pattern in (patterns or PATTERNS).items():
         out = _step(out, key, pattern, whole)
     line = "`" + column.replace("`", "``") + "`"
-    token = f"size(filter(split(substring({line}, 1, x.s.char_start), {_quoted(chr(92) + 's+')}), t -> t != ''))"
+    token = f"size(filter(split(substring({line}, 1, x.s.char_start), {quoted(chr(92) + 's+')}), t -> t != ''))"
     ordered = "array_sort(transform(_spans, (s, i) -> named_struct('a', s.char_start, 'i', i, 's', s)))"
     fields = {"char_start": "x.s.char_start", "char_end": "x.s.char_end", "token_start": token, "token_end": f"{token} + 1", "entity": "x.s.entity", "value": "x.s.value"}
-    full = F.expr(f"transform({ordered}, x -> named_struct({', '.join(f'{_quoted(k)}, {v}' for k, v in fields.items())}))")
+    full = F.expr(f"transform({ordered}, x -> named_struct({', '.join(f'{quoted(k)}, {v}' for k, v in fields.items())}))")
     # always true, but not for the optimizer, which else copies all steps into every filter on what comes out of them
-    here = F.monotonically_increasing_id() >= 0
+    here = F.rand(0) >= 0.0
     return out.withColumn("entities", F.when(F.col(column).isNotNull() & here, full)).withColumn("rewritten", F.when(here, F.col("_text"))).drop("_text").drop("_spans").withColumnRenamed("_edits", "edits")

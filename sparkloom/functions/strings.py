@@ -11,6 +11,11 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 BLOCK_ID = r"(blk_-?\d+)"
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def nascii(c: Column) -> Column:
     """Each run of non-ASCII characters as <NASCII>."""
     return F.regexp_replace(c, r"[^\x00-\x7F]+", "<NASCII>")

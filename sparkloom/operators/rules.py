@@ -8,9 +8,47 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import quoted
+
 
 class RuleError(ValueError):
-    """A rule that cannot be read or compiled."""
+    """A rule that cannot be read or compiled; code is what a command that compiles rules exits with."""
+
+    code = 4
+
+
+class RuleYamlError(RuleError):
+    code = 3
+
+
+class BackendError(RuleError):
+    """A condition that makes no column."""
+
+    code = 8
+
+
+class UnsupportedError(RuleError):
+    """A modifier that columns have no test for."""
+
+    code = 9
+
+
+class NotDoneError(RuleError):
+    """A condition that counts events: a correlation rule, see threshold."""
+
+    code = 42
+
+
+class SomeFieldsError(RuleError):
+    """The table lacks some of a rule's fields."""
+
+    code = 80
+
+
+class AllFieldsError(RuleError):
+    """The table lacks all of a rule's fields."""
+
+    code = 90
 
 
 def rule_files(paths: list[str | Path]) -> list[Path]:
@@ -25,55 +63,87 @@ def load_rules(paths: list[str | Path]) -> list[dict]:
         try:
             out += [r for r in yaml.safe_load_all(f.read_text()) if r]
         except yaml.YAMLError as e:
-            raise RuleError(f"{f}: {e}") from e
+            raise RuleYamlError(f"{f}: {e}") from e
     return out
 
 
-def _like(c: Column, value) -> Column:
+def _like(c: str, value) -> str:
     """Equality, ignoring case, with * and ? as wildcards."""
     rx = "".join(".*" if x == "*" else "." if x == "?" else re.escape(x) for x in str(value))
-    return c.cast("string").rlike(f"(?is)^{rx}$")
+    return f"CAST({c} AS STRING) RLIKE {quoted(f'(?is)^{rx}$')}"
+
+
+def _column(name: str) -> str:
+    return ".".join(f"`{x}`" for x in name.split("."))
 
 
-def _field(key: str, value) -> Column:
+#: What a modifier of a field tests; {c} is the column, {v} the value.
+_TESTS = {
+    "contains": "contains(lower(CAST({c} AS STRING)), lower({v}))", "startswith": "startswith(lower(CAST({c} AS STRING)), lower({v}))",
+    "endswith": "endswith(lower(CAST({c} AS STRING)), lower({v}))", "re": "CAST({c} AS STRING) RLIKE {v}",
+}
+
+
+def _field(key: str, value) -> str:
     name, *how = key.split("|")
-    c = F.col(name)
+    c, modes = _column(name), [h for h in how if h != "all"]
     if value is None:
-        return c.isNull()
+        return f"{c} IS NULL"
+    if len(modes) > 1 or modes and modes[0] not in _TESTS:
+        raise UnsupportedError(f"unknown modifier in {key}")
     values = value if isinstance(value, list) else [value]
-    lower = F.lower(c.cast("string"))
-    one = {"contains": lambda v: lower.contains(str(v).lower()), "startswith": lambda v: lower.startswith(str(v).lower()), "endswith": lambda v: lower.endswith(str(v).lower()), "re": lambda v: c.cast("string").rlike(str(v))}
-    modes = [h for h in how if h != "all"]
-    if len(modes) > 1 or modes and modes[0] not in one:
-        raise RuleError(f"unknown modifier in {key}")
-    tests = [one[modes[0]](v) if modes else _like(c, v) for v in values]
-    return _fold(tests, "all" in how)
-
-
-def _fold(tests: list[Column], every: bool) -> Column:
-    out = F.lit(every)
-    for t in tests:
-        out = out & t if every else out | t
-    return out
+    return _fold([_TESTS[modes[0]].format(c=c, v=quoted(str(v))) if modes else _like(c, v) for v in values], "all" in how)
+
 
+def _fold(tests: list[str], every: bool) -> str:
+    if not tests:
+        return str(every).upper()
+    return tests[0] if len(tests) == 1 else "(" + (" AND " if every else " OR ").join(f"({t})" for t in tests) + ")"
 
-def _selection(body, text: list[str]) -> Column:
+
+def _selection(body, text: list[str]) -> str:
     """A map: all its fields; a list: any of its maps or phrases; a phrase: in any text column, ignoring case."""
     if isinstance(body, dict):
         return _fold([_field(k, v) for k, v in body.items()], True)
     items = body if isinstance(body, list) else [body]
-    return _fold([_selection(i, text) if isinstance(i, dict) else _fold([F.lower(F.col(c)).contains(str(i).lower()) for c in text], False) for i in items], False)
+    phrase = lambda i: _fold([_TESTS["contains"].format(c=_column(c), v=quoted(str(i))) for c in text], False)
+    return _fold([_selection(i, text) if isinstance(i, dict) else phrase(i) for i in items], False)
+
+
+def fields(rule: dict) -> set[str]:
+    """The fields that a rule's selections name."""
+    def named(body) -> set[str]:
+        if isinstance(body, dict):
+            return {k.split("|")[0] for k in body}
+        return set().union(*map(named, body)) if isinstance(body, list) else set()
+
+    return set().union(*(named(v) for k, v in rule.get("detection", {}).items() if k not in ("condition", "timeframe")))
+
+
+def check_fields(rule: dict, columns: list[str]) -> None:
+    """Raises if a table of these columns lacks fields of the rule."""
+    used = fields(rule)
+    if missing := sorted(used - set(columns)):
+        raise (SomeFieldsError if len(missing) < len(used) else AllFieldsError)(f"no column for {', '.join(missing)}")
 
 
 def compile_rule(rule: dict, text: list[str]) -> Column:
-    """The rule's condition over its named selections: and, or, not, parentheses, 1 of / all of (them, or name*).
-    Null fields match nothing."""
+    return F.expr(rule_sql(rule, text))
+
+
+def rule_sql(rule: dict, text: list[str]) -> str:
+    """The rule's condition over its named selections, as SQL: and, or, not, parentheses, 1 of / all of (them, or
+    name*). Null fields match nothing."""
     try:
         detection = dict(rule["detection"])
         condition = detection.pop("condition")
     except (KeyError, TypeError) as e:
         raise RuleError("a rule needs detection with a condition") from e
-    named = {k: F.coalesce(_selection(v, text), F.lit(False)) for k, v in detection.items() if k != "timeframe"}
+    if not isinstance(condition, str):
+        raise BackendError(f"no condition but {condition!r}")
+    if "|" in condition:
+        raise NotDoneError(f"a condition that counts: {condition}")
+    named = {k: f"coalesce({_selection(v, text)}, FALSE)" for k, v in detection.items() if k != "timeframe"}
     toks = re.findall(r"\(|\)|[^\s()]+", str(condition))
     at = 0
 
@@ -87,24 +157,24 @@ def compile_rule(rule: dict, text: list[str]) -> Column:
             raise RuleError(f"condition breaks off: {condition}")
         return toks[at - 1]
 
-    def either() -> Column:
+    def either() -> str:
         out = both()
         while peek() == "or":
             take()
-            out = out | both()
+            out = f"({out} OR {both()})"
         return out
 
-    def both() -> Column:
+    def both() -> str:
         out = unary()
         while peek() == "and":
             take()
-            out = out & unary()
+            out = f"({out} AND {unary()})"
         return out
 
-    def unary() -> Column:
+    def unary() -> str:
         t = take()
         if t.lower() == "not":
-            return ~unary()
+            return f"(NOT {unary()})"
         if t == "(":
             out = either()
             if take() != ")":

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.arrays import char_vector
 
 
+#: Characters of a vocabulary that is broadcast.
+SMALL = 200_000
+
+
 def characters(urls: DataFrame, url: str = "url") -> DataFrame:
     return urls.withColumn("_chars", F.filter(F.split(F.coalesce(url, F.lit("")), ""), lambda c: c != ""))
 
@@ -30,8 +34,9 @@ def text_model(urls: DataFrame, order: str, url: str = "url") -> DataFrame:
 
 def index_vectors(urls: DataFrame, vocabulary: DataFrame, length: int, url: str = "url") -> DataFrame:
     """urls with vector: character indices, cut or padded to length."""
-    table = F.broadcast(vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("char", "idx"))).alias("_v")))  # one row, a map of characters
-    return urls.join(table).withColumn("vector", char_vector(F.col(url), F.col("_v"), length)).drop("_v")
+    table = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("char", "idx"))).alias("_v")).withColumn("_one", F.lit(1))
+    small = vocabulary.count() <= SMALL  # characters: Unicode has no more than some ten thousand in use
+    return urls.withColumn("_one", F.lit(1)).join(F.broadcast(table) if small else table, "_one").withColumn("vector", char_vector(F.col(url), F.col("_v"), length)).drop("_v", "_one")
 
 
 def train(urls: DataFrame, url: str = "url", label: str = "label", buckets: int = 1 << 16, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
@@ -42,6 +47,22 @@ def train(urls: DataFrame, url: str = "url", label: str = "label", buckets: int
     return model, score(model, held, url)
 
 
+def metrics(predicted: DataFrame, label: str = "label") -> DataFrame:
+    """n and accuracy of predictions, a row."""
+    return predicted.agg(F.count("*").alias("n"), F.avg((F.col("malicious_warning") == (F.col(label) == 1)).cast("double")).alias("accuracy"))
+
+
+def save(model: PipelineModel, path: str, history: DataFrame | None = None) -> None:
+    """The model, and the table of its metrics beside it, to which each saving adds."""
+    model.write().overwrite().save(f"{path}/model")
+    if history is not None:
+        history.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/history")
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(f"{path}/model")
+
+
 def score(model: PipelineModel, urls: DataFrame, url: str = "url") -> DataFrame:
     """urls with malicious_warning; streams as well."""
     keep = [c for c in urls.columns if c != "_chars"]

@@ -2,14 +2,13 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import upsert
-from ..operators.rules import RuleError, load_rules
+from ..operators.rules import RuleError, check_fields, load_rules, rule_files, rule_sql
 
 
 def structured_pair(assigned: DataFrame, counts: DataFrame, path: str) -> None:
@@ -105,13 +104,32 @@ def _array(v: DataFrame):
     return vector_to_array(v["vector"])
 
 
-def compiled_rules(paths: list[str], out: str) -> int:
-    """Writes title and condition of each rule; 0, or the code of what went wrong: 1 files, 3 YAML."""
+def compiled_rules(paths: list[str], out: str, text: list[str] = ("line",), columns: list[str] | None = None) -> int:
+    """Writes a line for each rule: its title and its condition as SQL over a table with the given text columns (and
+    columns, if they are to be checked). Returns 0 or the code of what went wrong: 1 the output, 5 a rule's file (the
+    others are still compiled), else RuleError's (3 YAML, 4 a rule, 8 a condition, 9 a modifier, 42 a count, 80 or 90
+    some or all fields missing), which ends it."""
+    code = 0
     try:
-        rules = load_rules(paths)
-        Path(out).write_text("".join(f"{r.get('title', '')}\t{r['detection']['condition']}\n" for r in rules))
-    except RuleError:
-        return 3
-    except (OSError, KeyError, TypeError):
+        with open(out, "w", encoding="utf-8") as f:
+            for path in rule_files(paths):
+                try:
+                    for i, rule in enumerate(load_rules([path])):
+                        if columns is not None:
+                            check_fields(rule, columns)
+                        f.write(f"{rule.get('title', f'rule {i}')}\t{rule_sql(rule, list(text))}\n")
+                except (OSError, UnicodeDecodeError):
+                    code = 5
+                except RuleError as e:
+                    return e.code
+    except OSError:
         return 1
-    return 0
+    return code
+
+
+def flag_urls(scored: DataFrame, folder: str) -> None:
+    """Writes malicious_warning back to the graph's urls: scored has key and malicious_warning."""
+    vertices = f"{folder}/vertices"
+    seq = (read_table(scored.sparkSession, vertices).agg(F.max("seq")).first()[0] or 0) + 1
+    props = F.create_map(F.lit("malicious_warning"), F.col("malicious_warning").cast("string"))
+    merge_table(scored.select(F.lit("urls").alias("collection"), "key", props.alias("props"), F.lit(seq).cast("long").alias("seq")), vertices, ["collection", "key"], "seq")
