@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import EDGE_FEATURES, cosine
-from .scratch import cut
+from .scratch import fresh, opened
 
 
 def first_probabilities(edges: DataFrame) -> DataFrame:
@@ -35,13 +36,15 @@ def transition_probabilities(edges: DataFrame, p: float = 1.0, q: float = 1.0, o
     return b.select("previous", "current", "dst", (F.col("weight") / total).alias("probability"))
 
 
-def walks(edges: DataFrame, n_walks: int = 10, length: int = 90, p: float = 1.0, q: float = 1.0, seed: int = 0, overrides: DataFrame | None = None, every: int = 5) -> DataFrame:
+def walks(edges: DataFrame, n_walks: int = 10, length: int = 90, p: float = 1.0, q: float = 1.0, seed: int = 0, overrides: DataFrame | None = None) -> DataFrame:
     """(round, node, walk array<string>): from each node n_walks walks of so many nodes; a dead end ends one early.
 
     A step is a join of the walks' heads with the edges; the next node is the one with the least -ln(u) / weight, u
-    from a hash of seed, walk, step and node, so the same walks come again whatever the partitions are. Lineage is cut
-    every few steps. overrides: (node, p, q, n_walks, walk_length), null where the general value holds.
+    from a hash of seed, round, node, step and candidate, so the same walks come again whatever the partitions are. Each
+    step's heads are written as they are and are the next one's input; the walks are gathered once, in the end.
+    overrides: (node, p, q, n_walks, walk_length), null where the general value holds.
     """
+    spark = edges.sparkSession
     nodes = edges.select(F.col("src").alias("node")).distinct()
     if overrides is not None:
         extra = overrides.select("node", F.col("n_walks").alias("_n"), F.col("walk_length").alias("_l"))
@@ -49,21 +52,22 @@ def walks(edges: DataFrame, n_walks: int = 10, length: int = 90, p: float = 1.0,
     else:
         nodes = nodes.withColumn("_n", F.lit(None).cast("int")).withColumn("_l", F.lit(None).cast("int"))
     rounds = nodes.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1)))).filter("_n is null or round < _n")
-    w = rounds.select("round", "node", F.coalesce("_l", F.lit(length)).alias("most"), F.array(F.col("node").cast("string")).alias("walk"), F.lit(None).cast(edges.schema["src"].dataType).alias("previous"), F.col("node").alias("current"))
+    heads = rounds.select("round", "node", F.coalesce("_l", F.lit(length)).alias("most"), F.lit(None).cast(edges.schema["src"].dataType).alias("previous"), F.col("node").alias("current"))
     longest = length if overrides is None else max(length, overrides.agg(F.max("walk_length")).first()[0] or 0)
-    out = edges.select(F.col("src").alias("current"), "dst", "weight")
-    for step in range(1, longest):
-        moving = w.filter((F.size("walk") < F.col("most")) & (F.size("walk") == step))
-        options = moving.select("round", "node", "previous", "current").join(out, "current")
-        options = biased(options, edges, p, q, overrides)
-        drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("node").cast("string"), F.lit(str(step)), F.col("dst").cast("string")).cast("binary"))
-        u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 1)
-        chosen = options.groupBy("round", "node").agg(F.min_by("dst", -F.log(u) / F.col("weight")).alias("to"))
-        now = w.join(chosen, ["round", "node"], "left")
-        w = now.select("round", "node", "most", F.when(F.col("to").isNotNull(), F.concat("walk", F.array(F.col("to").cast("string")))).otherwise(F.col("walk")).alias("walk"), F.when(F.col("to").isNotNull(), F.col("current")).otherwise(F.col("previous")).alias("previous"), F.coalesce("to", "current").alias("current"))
-        if step % every == 0:
-            w = cut(w)
-    return w.select("round", "node", "walk")
+    out, path, schema = edges.select(F.col("src").alias("current"), "dst", "weight"), fresh(spark), heads.schema
+    for step in range(max(1, longest)):
+        if step:
+            options = heads.filter(F.col("most") > step).join(out, "current")
+            options = biased(options, edges, p, q, overrides)
+            drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("node").cast("string"), F.lit(str(step)), F.col("dst").cast("string")).cast("binary"))
+            u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 1)
+            to = F.min_by(F.struct("current", "dst"), F.struct(-F.log(u) / F.col("weight"), "dst"))
+            heads = options.groupBy("round", "node", "most").agg(to.alias("to")).select("round", "node", "most", F.col("to.current").alias("previous"), F.col("to.dst").alias("current"))
+        heads.write.parquet(f"{path}/step={step}")
+        heads = spark.read.schema(schema).parquet(f"{path}/step={step}")
+    steps = opened(spark, path, T.StructType([*schema.fields, T.StructField("step", T.IntegerType())]))
+    walk = F.transform(F.array_sort(F.collect_list(F.struct("step", F.col("current").cast("string").alias("c")))), lambda x: x["c"])  # a walk's own nodes
+    return steps.groupBy("round", "node").agg(walk.alias("walk"))
 
 
 def embed(walk_table: DataFrame, dims: int = 128, window: int = 10, min_count: int = 1, seed: int = 1, partitions: int = 4) -> Word2VecModel:
