@@ -29,6 +29,8 @@ from .common import hex64, pieces, rows_apart, unpacked, utf8
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 _CHUNK = 1 << 16
+#: Fingerprints whose variants one task emits: some 17 million rows in the sieve.
+DEALT = 1 << 17
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -75,9 +77,16 @@ def _longs(values: list[int]) -> str:
     return f"array({', '.join(f'{v}L' if v != -(1 << 63) else '(-9223372036854775807L - 1L)' for v in values)})"
 
 
+def dealt(fps: DataFrame) -> DataFrame:
+    """A written table of fingerprints, dealt out anew if its partitions have more than DEALT: files are split by bytes,
+    and a large split would emit a hundred times its rows from one task."""
+    n = fps.count()
+    return fps if n <= DEALT * fps._jdf.queryExecution().toRdd().getNumPartitions() else fps.repartition(-(-n // DEALT))
+
+
 def crowded(fps: DataFrame) -> DataFrame:
     """Of the distinct fingerprints (fp), all that may have a link."""
-    parts = []
+    parts, fps = [], dealt(fps)
     for k, (lo, hi) in enumerate(BLOCKS):
         keep = _signed(((1 << 64) - 1) ^ sum(1 << b for b in range(lo, hi)))
         flips = [m for m in [0, *(_signed(1 << b) for b in range(64) if not lo <= b < hi)]]
@@ -90,6 +99,7 @@ def crowded(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints within RADIUS, enough to connect all that are connected."""
+    fps = dealt(fps)
     near = fps.select("fp", F.explode(F.expr(_longs(_masks(range(64), 1)))).alias("m")).select("fp", F.col("fp").alias("centre"), F.expr("fp ^ m").alias("key"))
     far = fps.filter("bit_count(fp) % 2 = 1").select("fp", F.explode(F.expr(_longs(_masks(range(64), 2, 2)))).alias("m")).select("fp", F.lit(None).cast("long").alias("centre"), F.expr("fp ^ m").alias("key"))
     bucket = Window.partitionBy("key")

@@ -105,7 +105,9 @@ def test_simhash_spark_hash_is_the_same(spark):
     assert h % (1 << 64) == xxhash.xxh64_intdigest(b"ka lo mi", 42)
 
 
-def test_simhash_links_of_random_balls(spark):
+@pytest.mark.parametrize("dealt", [1 << 17, 20])
+def test_simhash_links_of_random_balls(spark, monkeypatch, dealt):
+    monkeypatch.setattr(simhash, "DEALT", dealt)
     rng = random.Random(5)
     prints = set()
     for _ in range(40):
