@@ -27,7 +27,10 @@ def _arguments(args: list[str] | None) -> argparse.Namespace:
     c.add_argument("--stream", action="store_true", help="path is a folder of JSON lines of raw logs; what is new in it is parsed and loaded")
     c = command("load", "parsed logs (JSON lines) to a graph", "path", "out")
     c.add_argument("--stream", action="store_true")
-    command("train", "labelled URLs (CSV) to a model", "path", "model")
+    c = command("train", "labelled URLs (CSV) to a model", "path", "model")
+    c.add_argument("--bilstm", action="store_true", help="a character BiLSTM, in place of logistic regression")
+    for name in ("--embed-dim", "--batch-size", "--epochs"):
+        c.add_argument(name, type=int, help="of the BiLSTM")
     command("analyze", "mark the URLs of a graph by a model", "graph", "model")
     c = command("detect", "anomalous sessions of structured logs (CSV with content and event_id)", "train", "test", "out")
     c.add_argument("--weighting", choices=["tf-idf"])
@@ -75,7 +78,9 @@ def main(args: list[str] | None = None) -> int:
         else:
             parse.load_graph(parsed, a.out, 0)
     elif a.command == "train":
-        model, held = urls.train(readers.labelled_urls(spark, a.path))
+        sizes = {k: v for k, v in (("dims", a.embed_dim), ("batch", a.batch_size), ("epochs", a.epochs)) if v is not None}
+        rows = readers.labelled_urls(spark, a.path)
+        model, held = urls.train_bilstm(rows, **sizes) if a.bilstm else urls.train(rows)
         urls.save(model, a.model, urls.metrics(held))
     elif a.command == "analyze":
         found = sinks.read_table(spark, f"{a.graph}/vertices").filter("collection = 'urls'").select("key", F.col("name").alias("url"))

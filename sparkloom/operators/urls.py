@@ -1,18 +1,18 @@
 """URL scoring.
 
-The model is a stand-in for a character BiLSTM, which Spark ML has not: hashed character 3-grams under a logistic
-regression. It claims no parity of scores.
+Two models: a character BiLSTM (`train_bilstm`, see bilstm), and one that Spark ML fits on all rows wherever they are,
+hashed character 3-grams under a logistic regression (`train`). Scoring, saving and loading take either.
 """
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import char_vector
-
+from . import bilstm
 
 #: Characters of a vocabulary that is broadcast.
 SMALL = 200_000
@@ -52,24 +52,38 @@ def metrics(predicted: DataFrame, label: str = "label") -> DataFrame:
     return predicted.agg(F.count("*").alias("n"), F.avg((F.col("malicious_warning") == (F.col(label) == 1)).cast("double")).alias("accuracy"))
 
 
-def save(model: PipelineModel, path: str, history: DataFrame | None = None) -> None:
-    """The model, and the table of its metrics beside it, to which each saving adds."""
-    model.write().overwrite().save(f"{path}/model")
+def train_bilstm(urls: DataFrame, url: str = "url", label: str = "label", **sizes) -> tuple[bilstm.Model, DataFrame]:
+    """As train, for the BiLSTM; sizes as in bilstm.train and bilstm.fit."""
+    return bilstm.train(urls, url, label, **sizes)
+
+
+def save(model: PipelineModel | bilstm.Model, path: str, history: DataFrame | None = None, spark: SparkSession | None = None) -> None:
+    """The model, in place of one that is there, and the table of its metrics beside it, to which each saving adds."""
+    if isinstance(model, bilstm.Model):
+        bilstm.save(model, spark or SparkSession.active(), f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     if history is not None:
         history.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/history")
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(f"{path}/model")
+def load(path: str, spark: SparkSession | None = None) -> PipelineModel | bilstm.Model:
+    spark = spark or SparkSession.active()
+    stages = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/model/stages")
+    if stages.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stages):
+        return PipelineModel.load(f"{path}/model")
+    return bilstm.load(spark, f"{path}/model")
 
 
-def score(model: PipelineModel, urls: DataFrame, url: str = "url") -> DataFrame:
+def score(model: PipelineModel | bilstm.Model, urls: DataFrame, url: str = "url") -> DataFrame:
     """urls with malicious_warning; streams as well."""
+    if isinstance(model, bilstm.Model):
+        return bilstm.score(model, urls, url)
     keep = [c for c in urls.columns if c != "_chars"]
     return model.transform(characters(urls.select(*keep), url)).select(*keep, (F.col("prediction") == 1).alias("malicious_warning"))
 
 
-def classify(model: PipelineModel, urls: DataFrame, url: str = "url") -> DataFrame:
+def classify(model: PipelineModel | bilstm.Model, urls: DataFrame, url: str = "url") -> DataFrame:
     """urls with verdict, bad or good; an empty URL raises."""
     checked = F.when(F.length(F.coalesce(url, F.lit(""))) == 0, F.raise_error(F.lit("empty URL")).cast("string")).otherwise(F.col(url))
     return score(model, urls.withColumn(url, checked), url).withColumn("verdict", F.when(F.col("malicious_warning"), "bad").otherwise("good")).drop("malicious_warning")

@@ -532,6 +532,14 @@ def url_predict(s, d):
     return urls.classify(model, p.select("page_id", "url"))
 
 
+@query()
+def url_bilstm(s, d):
+    """The label is a toy: whether the URL has a query."""
+    p = table(s, d, "pages").select("page_id", "url", F.contains("url", F.lit("?")).cast("int").alias("label"))
+    model, _ = urls.train_bilstm(p)
+    return urls.classify(model, p.select("page_id", "url"))
+
+
 # ---- rules --------------------------------------------------------------------------------------------------------
 
 

@@ -133,6 +133,8 @@ def test_commands(spark, tmp_path):
     assert sinks.read_table(spark, at("again/vertices")).filter("collection = 'urls'").count() == 60
     (tmp_path / "u.csv").write_text("url,label\n" + "".join(f"{t.split()[1]},{'bad' if i % 2 else 'good'}\n" for i, t in docs))
     assert main(["train", at("u.csv"), at("model")]) == 0 and spark.read.parquet(at("model/history")).first().accuracy > 0.8
+    assert main(["train", at("u.csv"), at("bilstm"), "--bilstm", "--embed-dim", "8", "--epochs", "2"]) == 0
+    assert main(["analyze", at("graph"), at("bilstm")]) == 0 and spark.read.parquet(at("bilstm/history")).first().n > 0
     assert main(["analyze", at("graph"), at("model")]) == 0
     marked = [r for r in sinks.read_table(spark, at("graph/vertices")).filter("collection = 'urls'").collect()]
     assert sum((r.props["malicious_warning"] == "true") == ("bad" in r.name) for r in marked) >= 55 and all(r.props["span"] for r in marked)
