@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import EDGE_FEATURES, cosine
-from .scratch import fresh, opened
+from .scratch import discard, fresh, opened, written
 
 
 def first_probabilities(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def walks(edges: DataFrame, n_walks: int = 10, length: int = 90, p: float = 1.0,
     step's heads are written as they are and are the next one's input; the walks are gathered once, in the end.
     overrides: (node, p, q, n_walks, walk_length), null where the general value holds.
     """
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, written(edges.select("src", "dst", "weight"))  # each step reads them
     nodes = edges.select(F.col("src").alias("node")).distinct()
     if overrides is not None:
         extra = overrides.select("node", F.col("n_walks").alias("_n"), F.col("walk_length").alias("_l"))
@@ -65,6 +65,7 @@ def walks(edges: DataFrame, n_walks: int = 10, length: int = 90, p: float = 1.0,
             heads = options.groupBy("round", "node", "most").agg(to.alias("to")).select("round", "node", "most", F.col("to.current").alias("previous"), F.col("to.dst").alias("current"))
         heads.write.parquet(f"{path}/step={step}")
         heads = spark.read.schema(schema).parquet(f"{path}/step={step}")
+    discard(edges)
     steps = opened(spark, path, T.StructType([*schema.fields, T.StructField("step", T.IntegerType())]))
     walk = F.transform(F.array_sort(F.collect_list(F.struct("step", F.col("current").cast("string").alias("c")))), lambda x: x["c"])  # a walk's own nodes
     return steps.groupBy("round", "node").agg(walk.alias("walk"))

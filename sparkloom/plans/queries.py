@@ -480,24 +480,23 @@ def first_probs(s, d):
 
 
 _WALK = f"""WITH RECURSIVE {_EDGES}, walk AS (
-  SELECT r AS round, src AS node, 1 AS step, CAST(NULL AS VARCHAR) AS previous, src AS current, src AS walk FROM (SELECT DISTINCT src FROM both_ways), range(0, 2) AS t(r)
+  SELECT r AS round, src AS node, 1 AS step, CAST(NULL AS VARCHAR) AS previous, src AS current, src AS walk FROM (SELECT DISTINCT src FROM both_ways), range(0, 10) AS t(r)
   UNION ALL
   SELECT round, node, step + 1, current, arg_min(dst, -ln(u) / w), walk || ' ' || arg_min(dst, -ln(u) / w) FROM (
     SELECT k.*, b.dst, (CAST('0x' || substr(md5('3|' || round || '|' || node || '|' || step || '|' || b.dst), 1, 13) AS BIGINT) + 1) / 4503599627370497.0 AS u,
       CASE WHEN b.dst = previous THEN b.weight / 0.5 WHEN e.src IS NOT NULL THEN b.weight ELSE b.weight / 2.0 END AS w
-    FROM walk k JOIN both_ways b ON b.src = k.current LEFT JOIN both_ways e ON e.src = k.previous AND e.dst = b.dst WHERE step < 5) GROUP BY round, node, step, previous, current, walk
-) SELECT CAST(round AS INTEGER) AS round, node, walk FROM walk WHERE step = 5"""
+    FROM walk k JOIN both_ways b ON b.src = k.current LEFT JOIN both_ways e ON e.src = k.previous AND e.dst = b.dst WHERE step < 90) GROUP BY round, node, step, previous, current, walk
+) SELECT CAST(round AS INTEGER) AS round, node, walk FROM walk WHERE step = 90"""
 
 
 @query(_WALK)
 def random_walks(s, d):
-    return walks.walks(supply(s, d), n_walks=2, length=5, p=0.5, q=2.0, seed=3).withColumn("walk", F.array_join("walk", " "))
+    return walks.walks(supply(s, d), p=0.5, q=2.0, seed=3).withColumn("walk", F.array_join("walk", " "))
 
 
 @query()
 def node_embeddings(s, d):
-    w = walks.walks(supply(s, d), n_walks=2, length=5, seed=3)
-    model = walks.embed(w, dims=16, window=5)
+    model = walks.embed(walks.walks(supply(s, d), seed=3))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
