@@ -74,9 +74,19 @@ def edge_token(a: Column, b: Column) -> Column:
     return F.concat_ws("|", F.array_sort(F.array(a, b)))
 
 
+#: Ways of writing an indicator so that it is not clicked, and what is meant.
+REFANGED = (
+    (r"(?i)\bhxxp", "http"),
+    (r"\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?", "."),
+    (r"\s?[\[({]\s?(?:@|at)\s?[\])}]\s?", "@"),
+    (r"\[:\]", ":"),
+    (r"\[/\]", "/"),
+)
+
+
 def refang(c: Column) -> Column:
     """Indicators written so as not to be clicked, as they were meant."""
-    for pattern, plain in ((r"(?i)\bhxxp", "http"), (r"\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?", "."), (r"\s?[\[({]\s?(?:@|at)\s?[\])}]\s?", "@"), (r"\[:\]", ":"), (r"\[/\]", "/")):
+    for pattern, plain in REFANGED:
         c = F.regexp_replace(c, pattern, plain)
     return c
 

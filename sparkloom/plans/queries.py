@@ -163,7 +163,23 @@ def entities_all(s, d):
     return e.filter(F.size("entities") > 0).select("doc_id", "line_no", "rewritten", F.to_json("entities").alias("entities"))
 
 
-@query()
+def _indicators_sql() -> str:
+    """RE2 has no look-around: with other characters doubled, each of a run's two neighbours is its own to consume."""
+    t = "line"
+    for pattern, meant in S.REFANGED:
+        t = f"regexp_replace({t}, '{pattern}', '{meant}', 'g')"
+    kinds = []
+    for kind, rx in S.INDICATORS.items():
+        text, group, around = "t", 0, re.search(r"\(\?<!\[(.*?)\]\)", rx)
+        if around:
+            bare = re.sub(r"\(\?<?!\[.*?\]\)", "", rx.removeprefix("(?i)"))
+            text, group, rx = f"regexp_replace(t, '([^{around[1]}])', '\\1\\1', 'g')", 1, f"(?i)(?:^|[^{around[1]}])({bare})(?:[^{around[1]}]|$)"
+        quoted = rx.replace("'", "''")
+        kinds.append(f"SELECT DISTINCT doc_id, line_no, '{kind}' AS kind, unnest(regexp_extract_all({text}, '{quoted}', {group})) AS value FROM meant")
+    return f"WITH {_LINES}, meant AS (SELECT doc_id, line_no, {t} AS t FROM plain) {' UNION ALL '.join(kinds)}"
+
+
+@query(_indicators_sql())
 def indicators_refanged(s, d):
     return plain(s, d).select("doc_id", "line_no", F.explode(S.indicators(F.col("line"))).alias("i")).select("doc_id", "line_no", "i.kind", "i.value")
 
