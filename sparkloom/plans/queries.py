@@ -148,7 +148,7 @@ def _chain_sql() -> str:
 def entity_chain(s, d):
     e = extract_entities(full_lines(s, d), "line")
     spans = F.forall("entities", lambda x: F.substring("line", x["char_start"] + 1, x["char_end"] - x["char_start"]) == x["value"])
-    return e.select("event_id", "rewritten", F.array_join(F.array_sort(F.transform("entities", lambda x: F.concat(x["entity"], F.lit("="), x["value"]))), " ").alias("found"), spans.alias("spans_hold"))
+    return e.select("event_id", "rewritten", F.array_join(F.sort_array(F.transform("entities", lambda x: F.concat(x["entity"], F.lit("="), x["value"]))), " ").alias("found"), spans.alias("spans_hold"))
 
 
 @query(f"WITH {_LINES}, found AS (SELECT doc_id, line_no, line, regexp_extract_all(line, '{numbered(PATTERNS['version'])}', 0) AS v FROM plain) SELECT doc_id, line_no, regexp_replace(line, '{numbered(PATTERNS['version'])}', '<VERSION>', 'g') AS rewritten, CAST(length(regexp_extract(line, '^(.*?){numbered(PATTERNS['version'])}', 1)) AS INTEGER) AS first_start FROM found WHERE len(v) > 0")

@@ -85,6 +85,32 @@ def test_flat_patterns_are_the_patterns(spark):
         assert list(java(rx)[1]) == list(want.groupindex)
 
 
+def test_each_pattern_is_searched_for_once(spark):
+    lines = spark.createDataFrame([("a",)], "line string").repartition(2)
+    plan = extract_entities(lines, "line")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{12}\\b)") == 1 and plan.count("GHz\\b)") == 1
+
+
+def test_places_hold_where_a_later_match_takes_in_an_earlier_one(spark):
+    line = "1.2.3 a@b.co:http://xx.yy/z !:" + "q" * 60 + " 4.5.6"
+    text, found = entities(spark, line)
+    assert text == "<VERSION> <EMAIL>:<IP_ADDRESS>:<PASSWORD> <VERSION>"
+    assert [(a, b, t, e) for a, b, t, e, _ in found if e in ("version", "password")] == [(0, 5, 0, "version"), (30, 90, 3, "password"), (91, 96, 3, "version")]
+
+
+@pytest.mark.parametrize("line", ["\x01\x0210.0.0.1\x03\x03\x01 c@d.org:p\x02\x03\x03w \x01\x03v1.2\x02", "\x02 5MB\x02\x03 10.0.0.2;a\x01\x03\x03\x03;\x03b\x02 ", "\x01 7gb", " \x03 7gb 8gb 1.2.3 é 9K\x03"])
+def test_lines_that_hold_the_marks(spark, line):
+    import re
+
+    text, want = line, []
+    for key, rx in PATTERNS.items():
+        want += [(g, v) for m in re.finditer(rx, text, re.ASCII) for g, v in m.groupdict().items()]
+        text = re.sub(rx, lambda m, rx=rx, key=key: (";" if key == "ip_address_user_password" else ":").join(f"<{g.upper()}>" for g in re.compile(rx).groupindex), text, flags=re.ASCII)
+    got, found = entities(spark, line)
+    assert got == text and sorted((e, v) for *_, e, v in found) == sorted(want) and want
+    assert all(line[a:b] == v and t == len(line[:a].split()) for a, b, t, _, v in found)
+
+
 def test_whole_matches_become_stars(spark):
     text, found = entities(spark, "a 1.2.3 b 10.0.0.1", {k: PATTERNS[k] for k in ("ip_address", "version")}, whole=True)
     assert text == "a * b *" and [f[3] for f in found] == ["version", "ip_address"]
