@@ -512,7 +512,7 @@ def random_walks(s, d):
 
 @query()
 def node_embeddings(s, d):
-    model = walks.embed(walks.walks(supply(s, d), seed=3))
+    model = walks.embed(walks.walks(supply(s, d), seed=3, cumulative=True))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 

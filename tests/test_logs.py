@@ -401,6 +401,20 @@ def test_walks_of_a_hub_hash_in_blocks(spark, longest):
     assert got == {x: [names[j] for j in want[i]] for i, x in enumerate(names)}
 
 
+def test_cumulative_draws_follow_weights(spark, monkeypatch):
+    """One hash a step, by joins as well, and the chances of first_probabilities."""
+    e = graph.undirected(spark.createDataFrame([("hub", f"n{i}", 1.0 + i % 3) for i in range(6)], "src string, dst string, weight double"))
+    rows = walks.walks(e, 300, 9, seed=3, cumulative=True).collect()
+    seen = [b for r in rows for a, b in zip(r.walk, r.walk[1:]) if a == "hub"]
+    for r in walks.first_probabilities(e).filter("src = 'hub'").collect():
+        assert seen.count(r.dst) / len(seen) == pytest.approx(r.probability, abs=0.02)
+    got = walks.walks(e, 2, 5, seed=3, cumulative=True).collect()
+    monkeypatch.setattr(walks, "HELD_EDGES", 0)
+    assert sorted(map(str, got)) == sorted(map(str, walks.walks(e, 2, 5, seed=3, cumulative=True).collect()))
+    with pytest.raises(ValueError):
+        walks.walks(e, p=0.5, cumulative=True)
+
+
 def test_walks_start_few_jobs(spark):
     """A job for each of the 90 steps took longer than the walks."""
     e = graph.undirected(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
